@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartledger.functions.text import is_filled
@@ -98,22 +98,17 @@ def rejected(orders: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return flagged(orders, rules).where(~everything)
 
 
-def _counts(rules: Sequence[Rule]) -> list[Column]:
+def summary(orders: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row: input, valid, rejected, and failures per rule.
+
+    A query of its own rather than metrics observed on another one's pass:
+    observed counts include the rows of tasks that ran again.
+    """
+    _check_names(rules)
     everything = reduce(and_, (_passed(r) for r in rules), F.lit(True))
-    return [
+    return orders.agg(
         F.count(F.lit(1)).alias("input_rows"),
         F.count_if(everything).alias("valid_rows"),
         F.count_if(~everything).alias("rejected_rows"),
         *[F.count_if(~_passed(r)).alias(f"failed_{r.name}") for r in rules],
-    ]
-
-
-def summary(orders: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """One row: input, valid, rejected, and failures per rule."""
-    _check_names(rules)
-    return orders.agg(*_counts(rules))
-
-
-def observed(orders: DataFrame, rules: Sequence[Rule], observation: Observation) -> DataFrame:
-    """The same counts, taken while the next action reads the rows."""
-    return orders.observe(observation, *_counts(rules))
+    )

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartledger.functions.dates import year_month
 from cartledger.schemas import TABLES
 
+MONTH = "year_month"
+
 # Folder of each table below the curated root.
 FOLDERS = {key: table.name.replace(".", "/") for key, table in TABLES.items()}
 
@@ -15,15 +18,18 @@ def read_table(spark: SparkSession, root: str, key: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{FOLDERS[key]}")
 
 
-def read_fact(spark: SparkSession, root: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """The fact table, optionally between two moments (both inclusive).
+def since(fact: DataFrame, moment: Column) -> DataFrame:
+    """Lines from a moment on, reading no earlier month.
 
     The table is partitioned by month text.  A filter on the date alone would
     read every partition, so the months it implies are asked for as well.
     """
-    fact = read_table(spark, root, "fact_orders").withColumn("year_month", F.col("year_month").cast("string"))
-    if start is not None:
-        fact = fact.where((F.col("year_month") >= start[:7]) & (F.col("order_date") >= F.lit(start).cast("timestamp_ntz")))
-    if end is not None:
-        fact = fact.where((F.col("year_month") <= end[:7]) & (F.col("order_date") <= F.lit(end).cast("timestamp_ntz")))
-    return fact.drop("year_month")
+    return fact.where((F.col(MONTH) >= year_month(moment)) & (F.col("order_date") >= moment)).drop(MONTH)
+
+
+def until(fact: DataFrame, moment: Column) -> DataFrame:
+    return fact.where((F.col(MONTH) <= year_month(moment)) & (F.col("order_date") <= moment)).drop(MONTH)
+
+
+def read_fact(spark: SparkSession, root: str) -> DataFrame:
+    return read_table(spark, root, "fact_orders").drop(MONTH)

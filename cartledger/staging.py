@@ -32,6 +32,11 @@ class StageArea:
             _areas[app] = cls(spark, f"{_shared_folder(spark)}/cartledger/{app}")
         return _areas[app]
 
+    @classmethod
+    def for_job(cls, spark: SparkSession, job: str) -> "StageArea":
+        """A separate area that a job releases when it ends."""
+        return cls(spark, f"{cls.of(spark).root}/{job}-{uuid.uuid4().hex}")
+
     def path(self, label: str) -> str:
         """A fresh, unused folder name below the area."""
         path = f"{self.root}/{label}-{uuid.uuid4().hex}"

@@ -7,10 +7,11 @@ only see the names below and work on either.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cartledger.functions.dates import latest
 from cartledger.operators import dedup, extracts, marts, quality, rfm, star
@@ -28,7 +29,16 @@ class Warehouse:
     segments (fact table in, one row of customer_id and customer_segment out).
     """
 
-    def __init__(self, lines: DataFrame, params: Params = Params(), rules: Sequence[Rule] | None = None, segmenter=None):
+    def __init__(
+        self,
+        lines: DataFrame,
+        params: Params = Params(),
+        rules: Sequence[Rule] | None = None,
+        segmenter: Callable[[DataFrame], DataFrame] | None = None,
+        stage: StageArea | None = None,
+    ):
+        if stage is not None:
+            self.stage = stage
         self.lines = lines
         self.spark: SparkSession = lines.sparkSession
         self.params = params
@@ -95,6 +105,14 @@ class Warehouse:
         kept = self.valid_orders.where(~quality.is_cancelling(self.valid_orders.invoice_no))
         return latest(kept, "order_date")
 
+    @cached_property
+    def last_line(self) -> Column:
+        """Latest line of whatever status."""
+        return latest(self.valid_orders, "order_date")
+
+    def fact_since(self, moment: Column) -> DataFrame:
+        return self.fact.where(F.col("order_date") >= moment)
+
     @cached_property
     def revenue_summary(self) -> DataFrame:
         return marts.revenue_summary(self.fact, self.countries)
@@ -120,9 +138,14 @@ class Warehouse:
 
     def settle(self) -> "Warehouse":
         """Compute the fact table once, so that several tables can be built from it."""
-        settled = Warehouse(self.lines, self.params, self.rules, self._segmenter)
-        settled.fact = self.stage.table(self.fact, "fact")
-        settled.last_completed = latest(star.completed(settled.fact), "order_date")
+        return self.on_fact(self.stage.table(self.fact, "fact"))
+
+    def on_fact(self, fact: DataFrame) -> "Warehouse":
+        """The same warehouse over a fact table that has been written."""
+        settled = Warehouse(self.lines, self.params, self.rules, self._segmenter, self.stage)
+        settled.fact = fact
+        settled.last_completed = latest(settled.completed, "order_date")
+        settled.last_line = latest(settled.fact, "order_date")
         return settled
 
 
@@ -145,6 +168,13 @@ class CuratedWarehouse(Warehouse):
     def last_completed(self) -> Column:
         return latest(self.completed, "order_date")
 
+    @cached_property
+    def last_line(self) -> Column:
+        return latest(self.fact, "order_date")
+
+    def fact_since(self, moment: Column) -> DataFrame:
+        return curated.since(curated.read_table(self.spark, self.root, "fact_orders"), moment)
+
     dim_customers = cached_property(lambda self: self._read("dim_customers"))
     dim_products = cached_property(lambda self: self._read("dim_products"))
     revenue_summary = cached_property(lambda self: self._read("revenue_summary"))
