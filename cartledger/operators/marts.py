@@ -7,10 +7,10 @@ large share of the lines piles up in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartledger.functions.dates import month_of
+from cartledger.functions.dates import latest, month_of
 from cartledger.functions.money import per_unit, total
 from cartledger.operators.ranking import dense_rank
 from cartledger.operators.star import completed
@@ -18,18 +18,32 @@ from cartledger.params import Params
 from cartledger.staging import StageArea
 
 
-def orders_of_customers(fact: DataFrame) -> DataFrame:
-    """Completed money per customer, month and order; lines without a customer drop out."""
+def customer_orders(fact: DataFrame) -> DataFrame:
+    """Completed lines summed per customer and order, anonymous ones included.
+
+    All figures per customer are built from this table.  ``spent`` is the money
+    before line totals are rounded.
+    """
     return (
         completed(fact)
-        .where("customer_id IS NOT NULL")
-        .groupBy("customer_id", month_of(F.col("order_date")).alias("month"), "order_id")
-        .agg(total(F.col("line_total")).alias("order_total"))
+        .groupBy("customer_id", "order_id")
+        .agg(
+            total(F.col("line_total")).alias("order_total"),
+            F.sum(F.col("quantity") * F.col("unit_price")).alias("spent"),
+            F.min("order_date").alias("first_line"),
+            F.max("order_date").alias("last_line"),
+        )
     )
 
 
 def revenue_summary(fact: DataFrame, countries: DataFrame) -> DataFrame:
-    by_country = orders_of_customers(fact).join(countries, "customer_id").groupBy("country", "month")
+    per_customer = (
+        completed(fact)
+        .where("customer_id IS NOT NULL")
+        .groupBy("customer_id", month_of(F.col("order_date")).alias("month"), "order_id")
+        .agg(total(F.col("line_total")).alias("order_total"))
+    )
+    by_country = per_customer.join(countries, "customer_id").groupBy("country", "month")
     return by_country.agg(
         total(F.col("order_total")).alias("total_revenue"),
         F.countDistinct("order_id").alias("total_orders"),
@@ -42,20 +56,19 @@ def revenue_summary(fact: DataFrame, countries: DataFrame) -> DataFrame:
     )
 
 
-def customer_retention(fact: DataFrame, last_completed: Column, params: Params) -> DataFrame:
-    """``last_completed`` is the latest completed line, with or without a customer."""
+def customer_retention(orders: DataFrame, params: Params) -> DataFrame:
+    """From :func:`customer_orders`.  The reference date also counts anonymous lines."""
     per_customer = (
-        completed(fact)
-        .where("customer_id IS NOT NULL")
+        orders.where("customer_id IS NOT NULL")
         .groupBy("customer_id")
         .agg(
-            F.countDistinct("order_id").alias("total_orders"),
-            total(F.col("line_total")).alias("lifetime_spend"),
-            F.min("order_date").cast("date").alias("first_order_date"),
-            F.max("order_date").cast("date").alias("last_order_date"),
+            F.count("order_id").alias("total_orders"),
+            total(F.col("order_total")).alias("lifetime_spend"),
+            F.min("first_line").cast("date").alias("first_order_date"),
+            F.max("last_line").cast("date").alias("last_order_date"),
         )
     )
-    days_away = F.datediff(last_completed.cast("date"), F.col("last_order_date"))
+    days_away = F.datediff(latest(orders, "last_line").cast("date"), F.col("last_order_date"))
     status = (
         F.when(F.col("total_orders") == 1, "New")
         .when(days_away > params.lapsed_after_days, "Lapsed")

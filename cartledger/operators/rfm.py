@@ -24,19 +24,19 @@ SEGMENTS: list[tuple[str, tuple[int, int], tuple[int, int], tuple[int, int]]] =
 OTHERWISE = "Repeat"
 
 
-def metrics(fact: DataFrame) -> DataFrame:
-    """Per customer with a completed order: last day, distinct orders, money spent.
+def metrics(customer_orders: DataFrame) -> DataFrame:
+    """Per customer with a completed order: last day, number of orders, money spent.
 
-    Money is summed before rounding.  The last day stands for recency: the days
-    since then fall exactly as the day rises, whatever the reference date.
+    The last day stands for recency: the days since then fall exactly as the
+    day rises, whatever the reference date.
     """
     return (
-        fact.where("order_status = 'Completed' AND customer_id IS NOT NULL")
+        customer_orders.where("customer_id IS NOT NULL")
         .groupBy("customer_id")
         .agg(
-            F.max("order_date").cast("date").alias("last_day"),
-            F.countDistinct("order_id").alias("frequency"),
-            F.sum(F.col("quantity") * F.col("unit_price")).alias("monetary"),
+            F.max("last_line").cast("date").alias("last_day"),
+            F.count("order_id").alias("frequency"),
+            F.sum("spent").alias("monetary"),
         )
     )
 
@@ -71,7 +71,7 @@ def segment_of(recency: Column, frequency: Column, monetary: Column) -> Column:
     return F.coalesce(found, F.lit(OTHERWISE))
 
 
-def segments(fact: DataFrame, params: Params, stage: StageArea) -> DataFrame:
-    scored = scores(stage.table(metrics(fact), "rfm_metrics"), params, stage)
+def segments(customer_orders: DataFrame, params: Params, stage: StageArea) -> DataFrame:
+    scored = scores(stage.table(metrics(customer_orders), "rfm_metrics"), params, stage)
     segment = segment_of(F.col("r_score"), F.col("f_score"), F.col("m_score"))
     return scored.select("customer_id", segment.alias("customer_segment"))

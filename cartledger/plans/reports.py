@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from cartledger.functions.dates import month_of
 from cartledger.functions.money import per_unit, total
-from cartledger.operators.marts import orders_of_customers
 from cartledger.operators.ranking import dense_rank
 from cartledger.schemas import MONEY
 from cartledger.warehouse import Warehouse
@@ -46,9 +45,8 @@ def total_orders(w: Warehouse) -> DataFrame:
 
 def kpi_metrics(w: Warehouse) -> DataFrame:
     """Five figures in one row, from one aggregate per table."""
-    w = w.settle()
-    sales = w.completed.agg(
-        F.struct(total(F.col("line_total")).alias("revenue"), F.countDistinct("order_id").alias("orders")).alias("v")
+    sales = w.customer_orders.agg(
+        F.struct(total(F.col("order_total")).alias("revenue"), F.countDistinct("order_id").alias("orders")).alias("v")
     ).scalar()
     customers = w.countries.agg(F.countDistinct("customer_id")).scalar()
     retention = w.customer_retention.agg(
@@ -67,8 +65,7 @@ def kpi_metrics(w: Warehouse) -> DataFrame:
 
 
 def avg_order_value_per_segment(w: Warehouse) -> DataFrame:
-    w = w.settle()
-    segment_orders = orders_of_customers(w.fact).join(w.dim_customers, "customer_id").groupBy("customer_segment")
+    segment_orders = w.customer_orders.join(w.dim_customers, "customer_id").groupBy("customer_segment")
     value = per_unit(F.sum("order_total"), F.countDistinct("order_id"))
     return segment_orders.agg(value.alias("average_order_value")).orderBy(
         F.col("average_order_value").desc_nulls_last(), F.col("customer_segment").asc_nulls_last()

@@ -27,6 +27,8 @@ def local_session(cores: int | str = "*", app: str = "cartledger", **conf: str)
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(conf.pop("shuffle_partitions", 8)))
         .config("spark.driver.memory", conf.pop("driver_memory", "8g"))
     )

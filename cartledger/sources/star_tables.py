@@ -18,53 +18,76 @@ from cartledger.schemas import LINE_SCHEMA
 # The tables cover other years than the retail file.
 PARAMS = Params(window_start="1995-02-01 00:00:00", window_end="2001-06-30 23:59:59")
 
-COLUMNS = {
-    "lineitem": ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderdate"],
-    "customer": ["c_custkey", "c_nationkey"],
-    "nation": ["n_nationkey", "n_name"],
-    "part": ["p_partkey", "p_name", "p_retailprice"],
+# Declared, not inferred: reading needs no look at the files first.
+SCHEMAS = {
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_discount DOUBLE, "
+    "l_returnflag STRING, l_linestatus STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderdate TIMESTAMP_NTZ",
+    "customer": "c_custkey BIGINT, c_nationkey INT",
+    "nation": "n_nationkey INT, n_name STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_retailprice DOUBLE",
 }
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A table stored in fewer pieces than there are cores, shared out among them.
+
+    A file with one row group is read by one task, and so would be everything
+    up to the next shuffle.  Large tables have more pieces than cores and stay
+    as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
-    t = {name: spark.read.parquet(f"{folder}/{name}.parquet").select(*cols) for name, cols in COLUMNS.items()}
-    joined = (
-        t["lineitem"]
-        .join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    t = {name: spark.read.schema(columns).parquet(f"{folder}/{name}.parquet") for name, columns in SCHEMAS.items()}
+    odd_customer = F.col("o_custkey") % 30 == 1
+    # What depends on one table alone is computed there, before the join repeats it.
+    places = (
+        t["customer"]
         .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+        .select("c_custkey", F.concat(F.lit(" "), F.lower("n_name"), F.lit(" ")).alias("place"))
+    )
+    buys = t["orders"].select(
+        "o_orderkey",
+        "o_custkey",
+        F.when(F.col("o_custkey") % 20 != 0, F.col("o_custkey")).cast("int").alias("customer_id"),
+        F.col("o_orderdate").alias("order_date"),
+        (odd_customer & (F.col("o_orderkey") % 2 == 0)).alias("abroad"),
+    )
+    goods = t["part"].select(
+        "p_partkey",
+        F.concat(F.lit(" "), F.upper("p_name")).alias("title"),
+        F.col("p_retailprice").cast("decimal(10,2)").alias("list_price"),
+    )
+    joined = (
+        _spread(t["lineitem"], "l_orderkey", "l_partkey")
+        .join(buys, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(places, F.col("o_custkey") == F.col("c_custkey"))
+        .join(goods, F.col("l_partkey") == F.col("p_partkey"))
     )
     returned = F.col("l_returnflag") == "R"
+    line_no, part_no = F.col("l_linenumber"), F.col("l_partkey")
+    price = F.round(F.col("list_price") * (1 - F.col("l_discount").cast("decimal(4,2)")), 2)
     values: dict[str, Column] = {
         "invoice_no": F.concat(
             F.when(returned & (F.col("l_linestatus") == "F"), "C").otherwise(""), F.col("l_orderkey").cast("string")
         ),
-        "stock_code": F.when((F.col("l_partkey") % 211 == 0) & (F.col("l_linenumber") == 1), F.lit(None))
-        .when((F.col("l_partkey") % 223 == 0) & (F.col("l_linenumber") == 2), " ")
-        .otherwise(F.col("l_partkey").cast("string")),
-        "description": F.when(F.col("p_partkey") % 50 == 0, "  ").otherwise(
-            F.concat(
-                F.lit(" "),
-                F.upper("p_name"),
-                F.when((F.col("p_partkey") % 40 == 1) & (F.col("l_linenumber") == 1), " b ").otherwise(" "),
-            )
+        "stock_code": F.when((part_no % 211 == 0) & (line_no == 1), F.lit(None))
+        .when((part_no % 223 == 0) & (line_no == 2), " ")
+        .otherwise(part_no.cast("string")),
+        "description": F.when(part_no % 50 == 0, "  ").otherwise(
+            F.concat("title", F.when((part_no % 40 == 1) & (line_no == 1), " b ").otherwise(" "))
         ),
-        "quantity": F.when((F.col("l_linenumber") == 7) & (F.col("l_partkey") % 29 == 0), F.lit(None))
-        .when((F.col("l_linenumber") == 6) & (F.col("l_partkey") % 31 == 0), 0)
+        "quantity": F.when((line_no == 7) & (part_no % 29 == 0), F.lit(None))
+        .when((line_no == 6) & (part_no % 31 == 0), 0)
         .when(returned, -F.col("l_quantity"))
-        .otherwise(F.col("l_quantity"))
-        .cast("int"),
-        "order_date": F.col("o_orderdate").cast("timestamp_ntz"),
-        "unit_price": F.round(
-            F.col("p_retailprice").cast("decimal(10,2)") * (1 - F.col("l_discount").cast("decimal(4,2)")), 2
-        )
-        * F.when((F.col("l_linenumber") == 3) & (F.col("l_partkey") % 37 == 0), -1).otherwise(1),
-        "customer_id": F.when(F.col("o_custkey") % 20 != 0, F.col("o_custkey")).cast("int"),
-        "country": F.when((F.col("o_custkey") % 30 == 1) & (F.col("o_orderkey") % 2 == 0), " france ").otherwise(
-            F.concat(F.lit(" "), F.lower("n_name"), F.lit(" "))
-        ),
+        .otherwise(F.col("l_quantity")),
+        "order_date": F.col("order_date"),
+        "unit_price": F.when((line_no == 3) & (part_no % 37 == 0), -price).otherwise(price),
+        "customer_id": F.col("customer_id"),
+        "country": F.when(F.col("abroad"), " france ").otherwise(F.col("place")),
     }
     typed = [values[f.name].cast(f.dataType).alias(f.name) for f in LINE_SCHEMA.fields]
     times = F.when(F.col("customer_id") % 25 == 1, 2).otherwise(1)

@@ -87,7 +87,7 @@ class Warehouse:
     def segments(self) -> DataFrame:
         if self._segmenter is not None:
             return self._segmenter(self.fact)
-        return rfm.segments(self.fact, self.params, self.stage)
+        return rfm.segments(self.customer_orders, self.params, self.stage)
 
     @cached_property
     def dim_customers(self) -> DataFrame:
@@ -100,14 +100,13 @@ class Warehouse:
     # -- marts
 
     @cached_property
-    def last_completed(self) -> Column:
-        """Latest completed line.  Duplicates share their time, so valid lines will do."""
-        kept = self.valid_orders.where(~quality.is_cancelling(self.valid_orders.invoice_no))
-        return latest(kept, "order_date")
+    def customer_orders(self) -> DataFrame:
+        """Completed orders per customer; staged, because several tables start here."""
+        return self.stage.table(marts.customer_orders(self.fact), "customer_orders")
 
     @cached_property
     def last_line(self) -> Column:
-        """Latest line of whatever status."""
+        """Latest line of whatever status.  Duplicates share their time, so valid lines will do."""
         return latest(self.valid_orders, "order_date")
 
     def fact_since(self, moment: Column) -> DataFrame:
@@ -119,7 +118,7 @@ class Warehouse:
 
     @cached_property
     def customer_retention(self) -> DataFrame:
-        return marts.customer_retention(self.fact, self.last_completed, self.params)
+        return marts.customer_retention(self.customer_orders, self.params)
 
     @cached_property
     def product_months(self) -> DataFrame:
@@ -144,7 +143,6 @@ class Warehouse:
         """The same warehouse over a fact table that has been written."""
         settled = Warehouse(self.lines, self.params, self.rules, self._segmenter, self.stage)
         settled.fact = fact
-        settled.last_completed = latest(settled.completed, "order_date")
         settled.last_line = latest(settled.fact, "order_date")
         return settled
 
@@ -165,8 +163,8 @@ class CuratedWarehouse(Warehouse):
         return curated.read_fact(self.spark, self.root)
 
     @cached_property
-    def last_completed(self) -> Column:
-        return latest(self.completed, "order_date")
+    def customer_orders(self) -> DataFrame:
+        return marts.customer_orders(self.fact)
 
     @cached_property
     def last_line(self) -> Column:
