@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from cartledger.operators import quality
 from cartledger.operators.quality import Rule
 from cartledger.params import Params
+from cartledger.schemas import TABLES
 from cartledger.sinks.parquet import write_table
 from cartledger.sources import csv_files, curated
 from cartledger.staging import StageArea
 from cartledger.warehouse import CuratedWarehouse, Warehouse
 
 
+WRITERS = 4  # tables written at the same time, so that one's last tasks do not idle the cluster
+
+
 @dataclass(frozen=True)
 class Curated:
     """What a run left behind: the zone, opened for reports, and its row counts."""
@@ -43,9 +48,13 @@ def curate(
         source = Warehouse(lines, params, rules, segmenter, stage)
         write_table(source.fact, root, "fact_orders")
         w = source.on_fact(curated.read_fact(spark, root))
-        for key in ("dim_customers", "dim_products", "revenue_summary", "customer_retention", "product_performance"):
-            write_table(w.table(key), root, key)
-        counts = quality.summary(source.orders, source.rules).first().asDict()
+        with ThreadPoolExecutor(WRITERS) as pool:
+            counted = pool.submit(lambda: quality.summary(source.orders, source.rules).first().asDict())
+            frames = {key: w.table(key) for key in TABLES if key != "fact_orders"}
+            written = [pool.submit(write_table, df, root, key) for key, df in frames.items()]
+            for job in written:
+                job.result()
+        counts = counted.result()
         return Curated(CuratedWarehouse(spark, root, params), counts, counts["valid_rows"] - w.fact.count())
     finally:
         stage.release()

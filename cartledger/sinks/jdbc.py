@@ -33,8 +33,8 @@ def refresh(w: Warehouse, store: Store) -> dict[str, int]:
     its rows were committed would load them twice, so each table's rows are
     counted in the store afterwards; a difference raises.
     """
-    w = w.settle()
-    frames = {key: conform(w.table(key), table) for key, table in TABLES.items()}
+    stored = w.stored()
+    frames = {key: conform(stored[key], table) for key, table in TABLES.items()}
     for key in reversed(TABLES):
         truncate(frames[key], store, TABLES[key].name)
     loaded = {}

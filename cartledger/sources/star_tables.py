@@ -29,32 +29,34 @@ SCHEMAS = {
 }
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
+def _spread(df: DataFrame, key: str) -> DataFrame:
     """A table stored in fewer pieces than there are cores, shared out among them.
 
-    A file with one row group is read by one task, and so would be everything
-    up to the next shuffle.  Large tables have more pieces than cores and stay
-    as they are.
+    A file with one row group is read by one task, and that task would do all
+    the work up to the next shuffle.  Larger tables stay as they are: an
+    explicit repartition would keep adaptive execution from splitting hot keys.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() * 2 <= cores else df
+    return df.repartition(key) if df.rdd.getNumPartitions() < cores // 2 else df
 
 
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     t = {name: spark.read.schema(columns).parquet(f"{folder}/{name}.parquet") for name, columns in SCHEMAS.items()}
-    odd_customer = F.col("o_custkey") % 30 == 1
-    # What depends on one table alone is computed there, before the join repeats it.
-    places = (
-        t["customer"]
+    # Orders meet their customers first, so that lines are joined (and, when the
+    # tables are large, shuffled) once for all that an order knows.  Values that
+    # depend on one table alone are computed there.
+    buys = (
+        t["orders"]
+        .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
         .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("c_custkey", F.concat(F.lit(" "), F.lower("n_name"), F.lit(" ")).alias("place"))
-    )
-    buys = t["orders"].select(
-        "o_orderkey",
-        "o_custkey",
-        F.when(F.col("o_custkey") % 20 != 0, F.col("o_custkey")).cast("int").alias("customer_id"),
-        F.col("o_orderdate").alias("order_date"),
-        (odd_customer & (F.col("o_orderkey") % 2 == 0)).alias("abroad"),
+        .select(
+            "o_orderkey",
+            F.when(F.col("o_custkey") % 20 != 0, F.col("o_custkey")).cast("int").alias("customer_id"),
+            F.col("o_orderdate").alias("order_date"),
+            F.when((F.col("o_custkey") % 30 == 1) & (F.col("o_orderkey") % 2 == 0), " france ")
+            .otherwise(F.concat(F.lit(" "), F.lower("n_name"), F.lit(" ")))
+            .alias("country"),
+        )
     )
     goods = t["part"].select(
         "p_partkey",
@@ -62,9 +64,8 @@ def read_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.col("p_retailprice").cast("decimal(10,2)").alias("list_price"),
     )
     joined = (
-        _spread(t["lineitem"], "l_orderkey", "l_partkey")
+        _spread(t["lineitem"], "l_orderkey")
         .join(buys, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(places, F.col("o_custkey") == F.col("c_custkey"))
         .join(goods, F.col("l_partkey") == F.col("p_partkey"))
     )
     returned = F.col("l_returnflag") == "R"
@@ -87,7 +88,7 @@ def read_lines(spark: SparkSession, folder: str) -> DataFrame:
         "order_date": F.col("order_date"),
         "unit_price": F.when((line_no == 3) & (part_no % 37 == 0), -price).otherwise(price),
         "customer_id": F.col("customer_id"),
-        "country": F.when(F.col("abroad"), " france ").otherwise(F.col("place")),
+        "country": F.col("country"),
     }
     typed = [values[f.name].cast(f.dataType).alias(f.name) for f in LINE_SCHEMA.fields]
     times = F.when(F.col("customer_id") % 25 == 1, 2).otherwise(1)

@@ -135,6 +135,11 @@ class Warehouse:
             raise KeyError(key)
         return self.fact if key == "fact_orders" else getattr(self, key)
 
+    def stored(self) -> dict[str, DataFrame]:
+        """Every table, computed once, for whoever reads several of them several times."""
+        w = self.settle()
+        return {key: w.fact if key == "fact_orders" else w.stage.table(w.table(key), key) for key in TABLES}
+
     def settle(self) -> "Warehouse":
         """Compute the fact table once, so that several tables can be built from it."""
         return self.on_fact(self.stage.table(self.fact, "fact"))
@@ -195,5 +200,8 @@ class CuratedWarehouse(Warehouse):
     def product_months(self) -> DataFrame:
         return self.product_performance.drop("overall_rank")
 
+    def stored(self) -> dict[str, DataFrame]:
+        return {key: self.table(key) for key in TABLES}
+
     def settle(self) -> "CuratedWarehouse":
         return self
