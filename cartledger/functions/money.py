@@ -18,5 +18,10 @@ def total(amount: Column) -> Column:
 
 
 def per_unit(amount: Column, units: Column) -> Column:
-    """``amount / units`` rounded half up to cents; null when there are no units."""
-    return F.round(F.try_divide(amount, units.cast("decimal(20,0)")), 2).cast(MONEY)
+    """``amount / units`` rounded half up to cents; null when there are no units.
+
+    The operand types leave the quotient 18 digits after the point.  With wider
+    ones Spark would round it to six first, and a second time here.
+    """
+    quotient = F.try_divide(amount.cast("decimal(24,4)"), units.cast("decimal(18,0)"))
+    return F.round(quotient, 2).cast(MONEY)

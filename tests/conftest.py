@@ -21,6 +21,7 @@ def spark(tmp_path_factory):
             "spark.checkpoint.dir": str(base / "shared"),
             "spark.sql.warehouse.dir": str(base / "warehouse"),
             "spark.sql.catalogImplementation": "in-memory",
+            "spark.sql.maxMetadataStringLength": "10000",
         },
     )
     yield session

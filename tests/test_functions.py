@@ -40,6 +40,12 @@ def test_division_rounds_half_up_and_survives_zero(spark):
     assert one(spark, money.per_unit(amount, F.lit(0))) is None
 
 
+def test_division_is_not_rounded_twice(spark):
+    # 100499999999 / 10**11 = 1.00499999999, just below the tie
+    amount = F.lit("1004999999.99").cast("decimal(34,2)")
+    assert one(spark, money.per_unit(amount, F.lit(10**9))) == Decimal("1.00")
+
+
 def test_months(spark):
     when = F.lit("2011-02-28 23:59:59").cast("timestamp_ntz")
     assert one(spark, dates.month_of(when)) == dt.date(2011, 2, 1)
