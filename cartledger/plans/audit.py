@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,20 +87,15 @@ def constraint_audit(table_of: Callable[[str], DataFrame]) -> DataFrame:
 
 def table_counts(table_of: Callable[[str], DataFrame | None]) -> DataFrame:
     """Rows per registered table; a table that cannot be had (None) counts as null."""
-    rows = []
-    spark = None
-    missing = []
+    counts = []
     for key, table in TABLES.items():
         df = table_of(key)
-        names = [F.lit(table.name).alias("table_name"), F.lit(table.label).alias("label")]
         if df is None:
-            missing.append(names)
-            continue
-        spark = df.sparkSession
-        rows.append(df.agg(F.count(F.lit(1)).alias("row_count")).select(*names, "row_count"))
-    spark = spark or SparkSession.active()
-    rows += [spark.range(1).select(*names, F.lit(None).cast("long").alias("row_count")) for names in missing]
-    return reduce(DataFrame.unionByName, rows)
+            count = SparkSession.active().range(1).select(F.lit(None).cast("long").alias("row_count"))
+        else:
+            count = df.agg(F.count(F.lit(1)).alias("row_count"))
+        counts.append(count.select(F.lit(table.name).alias("table_name"), F.lit(table.label).alias("label"), "row_count"))
+    return reduce(DataFrame.unionByName, counts)
 
 
 def catalog_table(spark: SparkSession) -> Callable[[str], DataFrame | None]:
@@ -112,6 +108,18 @@ def catalog_table(spark: SparkSession) -> Callable[[str], DataFrame | None]:
     return find
 
 
+def if_present(table_of: Callable[[str], DataFrame]) -> Callable[[str], DataFrame | None]:
+    """The same lookup, with None for a table that cannot be read."""
+
+    def find(key: str) -> DataFrame | None:
+        try:
+            return table_of(key)
+        except AnalysisException:
+            return None
+
+    return find
+
+
 def table_preview(table_of: Callable[[str], DataFrame], key: str, rows: int = 10, ordered: bool = False) -> DataFrame:
     """Some rows of a registered table; with ``ordered`` always the same ones.
 

@@ -14,13 +14,10 @@ from cartledger.params import Params
 from cartledger.schemas import TABLES
 from cartledger.sinks.parquet import write_table
 from cartledger.sources import csv_files, curated
-from cartledger.staging import StageArea
+from cartledger.staging import WRITERS, StageArea
 from cartledger.warehouse import CuratedWarehouse, Warehouse
 
 
-WRITERS = 4  # tables written at the same time, so that one's last tasks do not idle the cluster
-
-
 @dataclass(frozen=True)
 class Curated:
     """What a run left behind: the zone, opened for reports, and its row counts."""

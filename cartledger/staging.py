@@ -12,9 +12,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
+WRITERS = 4  # tables written at the same time
+
 _areas: dict[str, "StageArea"] = {}
 
 
@@ -49,6 +52,12 @@ class StageArea:
         df.write.parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
+    def tables(self, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Write several frames at the same time, so that one's last tasks do not idle the cluster."""
+        with ThreadPoolExecutor(WRITERS) as pool:
+            staged = {label: pool.submit(self.table, df, label) for label, df in frames.items()}
+            return {label: job.result() for label, job in staged.items()}
+
     def release(self) -> None:
         """Delete the folders this area has handed out."""
         jvm = self._spark._jvm

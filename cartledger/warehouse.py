@@ -138,7 +138,8 @@ class Warehouse:
     def stored(self) -> dict[str, DataFrame]:
         """Every table, computed once, for whoever reads several of them several times."""
         w = self.settle()
-        return {key: w.fact if key == "fact_orders" else w.stage.table(w.table(key), key) for key in TABLES}
+        others = {key: w.table(key) for key in TABLES if key != "fact_orders"}
+        return {"fact_orders": w.fact, **w.stage.tables(others)}
 
     def settle(self) -> "Warehouse":
         """Compute the fact table once, so that several tables can be built from it."""
