@@ -25,6 +25,11 @@ def _cents(amount: str) -> str:
     return f"CAST({amount} * 100 AS HUGEINT)"
 
 
+def _pennyths(amount: str) -> str:
+    """Hundredths of a cent, as finely as a unit price is kept."""
+    return f"CAST({amount} * 10000 AS HUGEINT)"
+
+
 def _ctes(p: Params) -> dict[str, tuple[list[str], str]]:
     """CTE name -> the CTEs it needs, and its text."""
     return {
@@ -135,7 +140,7 @@ def _ctes(p: Params) -> dict[str, tuple[list[str], str]]:
             ["prod", "done"],
             f"""
             SELECT product_id, product_name,
-                   CAST(coalesce((SELECT {_half_up(_cents('sum(d.unit_price)'), 'count(*)')}
+                   CAST(coalesce((SELECT {_half_up(_pennyths('sum(d.unit_price)'), '(100 * count(*))')}
                                   FROM done d WHERE d.product_id = prod.product_id HAVING count(*) > 0), 0)
                         AS DECIMAL(10,2)) AS avg_unit_price
             FROM prod""",
@@ -208,8 +213,10 @@ def _ctes(p: Params) -> dict[str, tuple[list[str], str]]:
     }
 
 
-def _query(p: Params, needs: str, select: str) -> str:
+def _query(p: Params, needs: str, select: str, lines: str | None) -> str:
     ctes = _ctes(p)
+    if lines is not None:
+        ctes["lines"] = ([], lines)
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -242,7 +249,7 @@ def _big(number: str, name: str) -> str:
     return f"CAST({number} AS BIGINT) AS {name}"
 
 
-FACT = f"""order_id, customer_id, product_id, order_date, quantity, {_dbl('unit_price', 'unit_price')},
+FACT = f"""order_id, customer_id, product_id, order_date, quantity, {_dbl('CAST(unit_price AS DECIMAL(10,2))', 'unit_price')},
            {_dbl('line_total', 'line_total')}, order_status"""
 
 
@@ -386,9 +393,11 @@ TABLE_ROWS = [
 ALL_TABLES = "dimc dimp fact summ ret perf"
 
 
-def texts(p: Params = PARAMS) -> dict[str, str]:
+def texts(p: Params = PARAMS, lines: str | None = None) -> dict[str, str]:
+    """All texts; ``lines`` is SQL that replaces the lines derived from the order tables."""
+
     def q(needs: str, select: str) -> str:
-        return _query(p, needs, select)
+        return _query(p, needs, select, lines)
 
     def counts(extra: str = "") -> str:
         return "\nUNION ALL ".join(

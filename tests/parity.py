@@ -28,9 +28,8 @@ def rows_of(columns: list[str], rows) -> Counter:
     return Counter(tuple(_plain(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, query, sql: str, folder: str) -> str | None:
-    """None when both sides agree, else what differs."""
-    df = query(spark, folder)
+def compare(con, df, sql: str) -> str | None:
+    """None when the frame and the SQL agree, else what differs."""
     mine = rows_of(df.columns, df.collect())
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]

@@ -24,7 +24,7 @@ def test_every_query_has_its_sql():
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_same_rows(spark, con, name):
-    assert compare(spark, con, QUERIES[name], SQL[name], FOLDER) is None
+    assert compare(con, QUERIES[name](spark, FOLDER), SQL[name]) is None
 
 
 def test_entry(spark):

@@ -24,6 +24,7 @@ CASES = {
     "blank invoice": (line(invoice="  "), {"filled_invoice_no_stock_code"}),
     "no stock code": (line(stock=None), {"filled_invoice_no_stock_code"}),
     "blank stock code": (line(stock=" "), {"filled_invoice_no_stock_code"}),
+    "empty stock code": (line(stock=""), {"filled_invoice_no_stock_code"}),
     "zero units": (line(quantity=0), {"quantity"}),
     "zero units cancelled": (line(invoice="C1", quantity=0), {"quantity"}),
     "negative units": (line(quantity=-1), {"quantity"}),
