@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cartledger.llm import quality, sql
+from cartledger.llm import lines, quality, sql
 from cartledger.llm.session import table
 
 
@@ -19,9 +19,21 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in columns])
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    left = F.col("lines")
+    return lines.dedupe(documents).select(
+        "doc_id",
+        left.n_lines.alias("n_lines"),
+        left.n_dropped.alias("n_dropped"),
+        F.sha2(left.text, 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_quality_rules": op6_quality_rules,
+        "op9_line_dedup": op9_line_dedup,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -57,7 +57,22 @@ FROM (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max
 """
 
 
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LINE_DEDUP = f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+lines AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS no FROM split),
+keyed AS (SELECT *, {_LOWER.format(f'trim(line, {_SPACES})')} AS k FROM lines),
+frequent AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT keyed.*, frequent.k IS NOT NULL AS gone FROM keyed LEFT JOIN frequent USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def texts() -> dict[str, str]:
     return {
         "op6_quality_rules": quality_rules(),
+        "op9_line_dedup": LINE_DEDUP,
     }

@@ -7,19 +7,39 @@ kept.  All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartledger.llm import quality
+from cartledger.llm import lines, quality
+from cartledger.llm.native import unused
 from cartledger.llm.session import ready, staged, table
 
 
+def _retexted(docs: DataFrame, columns: list[str], text) -> DataFrame:
+    """The columns of documents with another text and its length."""
+    docs = docs.withColumn("text", text)
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
+    return docs.select(*[F.col(f"`{c}`") for c in columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line rules clean the text; documents that they reject go."""
     ready(spark)
-    return quality.cleaned(docs)
+    return _retexted(quality.cleaned(docs), docs.columns, F.col("text"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A line of ten documents or more stays in one of them; a document left without a word goes."""
+    ready(spark)
+    columns, into = docs.columns, unused(docs, "lines")
+    left = lines.dedupe(docs, keep_first=True, into=into)
+    emptied = (F.col(f"{into}.n_dropped") > 0) & ~F.col(f"{into}.text").rlike("[^\\x20\\x09-\\x0D]")
+    return _retexted(left.where(~emptied), columns, F.col(f"{into}.text"))
 
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
 ]
 
 # Token ids and near-duplicate classes are not expressible in SQL; tests hold
