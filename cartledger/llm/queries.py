@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cartledger.llm import lines, quality, sql
+from cartledger.llm import jaccard, lines, quality, sql
 from cartledger.llm.session import table
 
 
@@ -30,10 +30,16 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return jaccard.near_duplicates(documents).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_quality_rules": op6_quality_rules,
         "op9_line_dedup": op9_line_dedup,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
         "pipeline": corpus_pipeline.run,
     }
 

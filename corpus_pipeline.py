@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartledger.llm import lines, quality
+from cartledger.llm import jaccard, lines, quality
 from cartledger.llm.native import unused
 from cartledger.llm.session import ready, staged, table
 
@@ -37,9 +37,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _retexted(left.where(~emptied), columns, F.col(f"{into}.text"))
 
 
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    ready(spark)
+    return jaccard.one_of_each(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
+    ("ngram_jaccard", ngram_jaccard),
 ]
 
 # Token ids and near-duplicate classes are not expressible in SQL; tests hold
