@@ -4,14 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cartledger.llm import jaccard, lines, quality, sql
+from cartledger.llm import bpe, decontaminate, jaccard, lines, quality, sql
 from cartledger.llm.session import table
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.contained(documents, table(spark, folder, "benchmark")).drop("row")
+
+
+def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    tokens = F.col("tokens")
+    return bpe.with_ids(documents, public_tokenizers.path("word_bpe_49k.json")).select(
+        "doc_id",
+        tokens.n_tokens.alias("n_tokens"),
+        F.sha2(tokens.ids, 256).alias("ids_sha256"),
+        F.sha2(tokens.decoded, 256).alias("decoded_sha256"),
+    )
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     judged = quality.with_quality(documents)
@@ -37,6 +54,8 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate,
+        "op2_bpe": op2_bpe,
         "op6_quality_rules": op6_quality_rules,
         "op9_line_dedup": op9_line_dedup,
         "op10_ngram_jaccard": op10_ngram_jaccard,

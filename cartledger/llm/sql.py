@@ -71,13 +71,22 @@ FROM marked GROUP BY doc_id
 """
 
 
+_LOWER_WORDS = _WORDS.format(_LOWER.format("coalesce(text, '')"))
+_FIVES = """unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)"""
+
+DECONTAMINATE = rf"""
+WITH held AS (SELECT DISTINCT doc_id, {_FIVES} AS g FROM (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents)),
+known AS (SELECT DISTINCT item_id, {_FIVES} AS g FROM (SELECT item_id, {_LOWER_WORDS} AS w FROM benchmark)),
+sizes AS (SELECT item_id, count(*) AS n_item FROM known GROUP BY item_id)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
+FROM held JOIN known USING (g) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item
+"""
+
 NGRAM_JACCARD = rf"""
-WITH RECURSIVE split AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
-grams AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
-  FROM split
-),
+WITH RECURSIVE split AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, {_FIVES} AS g FROM split),
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 pairs AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b USING (g)
@@ -97,6 +106,7 @@ JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r US
 
 def texts() -> dict[str, str]:
     return {
+        "op1_decontaminate": DECONTAMINATE,
         "op6_quality_rules": quality_rules(),
         "op9_line_dedup": LINE_DEDUP,
         "op10_ngram_jaccard": NGRAM_JACCARD,

@@ -6,10 +6,11 @@ kept.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartledger.llm import jaccard, lines, quality
+from cartledger.llm import bpe, decontaminate, jaccard, lines, quality
 from cartledger.llm.native import unused
 from cartledger.llm.session import ready, staged, table
 
@@ -43,10 +44,25 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return jaccard.one_of_each(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, in the layout of token files."""
+    ready(spark)
+    into = unused(docs, "tokens")
+    encoded = bpe.with_ids(docs, public_tokenizers.path("word_bpe_49k.json"), into=into)
+    return encoded.select("doc_id", "lang", "source", F.col(f"{into}.n_tokens").alias("n_tokens"), F.col(f"{into}.ids").alias("ids"))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
     ("ngram_jaccard", ngram_jaccard),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("bpe_encoding", bpe_encoding),
 ]
 
 # Token ids and near-duplicate classes are not expressible in SQL; tests hold
