@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cartledger.llm import bpe, decontaminate, jaccard, lines, quality, sql
+from cartledger.llm import bpe, chat, decontaminate, jaccard, licenses, lines, quality, sql
 from cartledger.llm.session import table
 
 
@@ -36,6 +36,25 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in columns])
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return licenses.scan(documents, licenses.notices(spark))
+
+
+def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    views = chat.perspectives(table(spark, folder, "conversations"))
+    spans = F.transform("mask", lambda s: F.concat_ws("-", s.begin.cast("string"), s.end.cast("string")))
+    return views.select(
+        "conv_id",
+        "part",
+        "perspective",
+        F.size("messages").cast("long").alias("n_turns"),
+        F.size("mask").cast("long").alias("n_trained"),
+        "rendered",
+        F.array_join(spans, ",").alias("mask"),
+    )
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     left = F.col("lines")
@@ -57,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": op1_decontaminate,
         "op2_bpe": op2_bpe,
         "op6_quality_rules": op6_quality_rules,
+        "op7_license_scan": op7_license_scan,
+        "op8_chat_format": op8_chat_format,
         "op9_line_dedup": op9_line_dedup,
         "op10_ngram_jaccard": op10_ngram_jaccard,
         "pipeline": corpus_pipeline.run,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cartledger.llm.licenses import NOTICES, Dice
 from cartledger.llm.quality import BOILERPLATE, Rules
 
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -57,6 +58,68 @@ FROM (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max
 """
 
 
+def license_scan(dice: Dice = Dice()) -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in NOTICES)
+    words = f"list_filter(string_split_regex({_LOWER.format('u')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return rf"""
+WITH known AS (
+  SELECT license_id, no, len(g) AS size, unnest(g) AS gram
+  FROM (SELECT license_id, no, {pairs} AS g FROM (
+    SELECT license_id, row_number() OVER () AS no, {words} AS w FROM (VALUES {values}) v(license_id, u)))
+),
+cut AS (
+  SELECT doc_id, text, string_split_regex(text, '
+[ 	]*
+') AS blocks FROM documents WHERE text IS NOT NULL
+),
+listed AS (
+  SELECT doc_id, string_split(text, chr(10)) || list_filter(blocks, lambda b: contains(b, chr(10)))
+    || CASE WHEN len(blocks) > 1 THEN [text] ELSE [] END AS us
+  FROM cut
+),
+units AS (SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) AS unit FROM listed),
+grams AS (
+  SELECT doc_id, unit, len(g) AS n, unnest(g) AS gram
+  FROM (SELECT doc_id, unit, {pairs} AS g FROM (SELECT doc_id, unit, {words} AS w FROM units))
+),
+matched AS (
+  SELECT doc_id, unit, license_id, no, 2 * count(*) / (n + size) AS dice
+  FROM grams JOIN known USING (gram) GROUP BY doc_id, unit, license_id, no, n, size
+  HAVING 200 * count(*) >= {dice.percent} * (n + size)
+),
+best AS (SELECT doc_id, unit, license_id, max(dice) AS dice FROM matched GROUP BY ALL)
+SELECT doc_id, license_id, max(dice) AS dice, count(*) AS n_units FROM best GROUP BY doc_id, license_id
+"""
+
+
+CHAT_FORMAT = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS content FROM conversations
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, content) - 1 AS place FROM turns
+),
+speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'),
+views AS (
+  SELECT p.conv_id, place // 512 AS part, place, perspective, content, coalesce(role = perspective, false) AS trained,
+    '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant'
+      ELSE 'user' || coalesce(' name=' || regexp_replace(role, '[ \t\n\x0B\f\r]', '_', 'g'), '') END || chr(10) AS head
+  FROM placed p JOIN speakers s ON p.conv_id IS NOT DISTINCT FROM s.conv_id
+),
+spots AS (
+  SELECT *, coalesce(sum(length(head) + length(content) + 11) OVER (
+    PARTITION BY conv_id, part, perspective ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_
+  FROM views
+)
+SELECT conv_id, part, perspective, count(*) AS n_turns, count(*) FILTER (trained) AS n_trained,
+  string_agg(head || content || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered,
+  coalesce(string_agg((at_ + length(head))::BIGINT || '-' || (at_ + length(head) + length(content) + 10)::BIGINT, ','
+    ORDER BY place) FILTER (trained), '') AS mask
+FROM spots GROUP BY conv_id, part, perspective
+"""
+
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 LINE_DEDUP = f"""
@@ -108,6 +171,8 @@ def texts() -> dict[str, str]:
     return {
         "op1_decontaminate": DECONTAMINATE,
         "op6_quality_rules": quality_rules(),
+        "op7_license_scan": license_scan(),
+        "op8_chat_format": CHAT_FORMAT,
         "op9_line_dedup": LINE_DEDUP,
         "op10_ngram_jaccard": NGRAM_JACCARD,
     }
