@@ -50,13 +50,12 @@ def _row(row_id: str, text: str) -> Column:
 
 
 def _worded(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    found = df.select(F.col(row_id).alias("id"), _row(row_id, text).alias("row"), words(ascii_lower(F.col(text))).alias("w"))
-    return found.where(F.size("w") > 0)
+    return df.select(F.col(row_id).alias("id"), _row(row_id, text).alias("row"), words(ascii_lower(F.col(text))).alias("w"))
 
 
 def _windows(worded: DataFrame, width: int, value: Column) -> DataFrame:
-    """One row for each window; the words stay in a column of their own, so they are split once."""
-    places = F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0)))
+    """One row for each window; the words are a step of their own without a filter, so they are split once."""
+    places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0))))
     return worded.select("id", "row", "w", F.explode(places).alias("i")).select("id", "row", value.alias("shingle"))
 
 

@@ -27,6 +27,7 @@ from cartledger.llm.native import ascii_lower
 from cartledger.llm.session import staged
 
 WORD_GAP = "[^\\p{L}\\p{N}]+"
+MANY = 2**31 - 1
 PARAGRAPH_GAP = "\n[ \\t\\r]*\n"
 
 # The wording of common licence notices.
@@ -91,14 +92,20 @@ def notices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(NOTICES, "license_id string, text string")
 
 
-def _with_bigrams(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``grams``, the distinct word bigrams; the words are a step of their own, so they are split once."""
+def _spread(df: DataFrame, text: str, least: int, most: int) -> DataFrame:
+    """One row (gram, n) per distinct word bigram of each text whose number n of them lies within the bounds.
+
+    Words and bigrams are steps of their own and no filter stands on them, so
+    each is computed once; texts out of bounds spread nothing.
+    """
     worded = df.withColumn("w", F.filter(F.split(ascii_lower(F.col(text)), WORD_GAP), lambda w: w != "")).drop(text)
-    worded = worded.where(F.size("w") > 1)
-    pairs = F.zip_with(
-        F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)
+    left = F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))
+    pairs = F.zip_with(left, F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    found = worded.withColumn("grams", F.array_distinct(pairs)).drop("w")
+    n = F.size("grams")
+    return found.select(
+        *[c for c in found.columns if c != "grams"], n.alias("n"), F.explode(F.when(n.between(least, most), F.col("grams"))).alias("gram")
     )
-    return worded.withColumn("grams", F.array_distinct(pairs)).drop("w").withColumn("n", F.size("grams"))
 
 
 def _units(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -117,20 +124,17 @@ def scan(
     """(doc_id, license_id, dice, n_units): the best coefficient of each licence and the units that match it."""
     p = dice.percent
     known = templates.select("license_id", F.xxhash64("license_id", "text").alias("template"), "text").distinct()
-    known = _with_bigrams(known, "text").select(
+    known = _spread(known, "text", 1, MANY).select(
         "license_id",
         "template",
         F.col("n").alias("size"),
         F.ceil(F.col("n") * p / (200 - p)).alias("least"),
         F.floor(F.col("n") * (200 - p) / p).alias("most"),
-        F.explode("grams").alias("gram"),
+        "gram",
     )
     known = staged(known, "license_templates")
     bounds = known.agg(F.min("least"), F.max("most")).first()
-    units = _with_bigrams(_units(documents, doc_id, text), "unit").where(
-        F.col("n").between(F.lit(bounds[0] or 0), F.lit(bounds[1] or 0))
-    )
-    spread = units.select("doc_id", "row", "no", "n", F.explode("grams").alias("gram"))
+    spread = _spread(_units(documents, doc_id, text), "unit", bounds[0] or 1, bounds[1] or 0)
     held = spread.join(known, "gram").where("n BETWEEN least AND most")
     # Equal rows share id, hash and unit number: distinct bigrams are counted.
     held = held.select("doc_id", "row", "no", "n", "license_id", "template", "size", "gram").distinct()

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cartledger.llm import bpe, chat, decontaminate, jaccard, licenses, lines, quality, sql
+from cartledger.llm import bpe, chat, decontaminate, jaccard, langid, licenses, lines, quality, sql, token_counts
 from cartledger.llm.session import table
+from cartledger.staging import StageArea
 
 
 def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,6 +30,24 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    files = StageArea.of(spark).path("token_files")
+    separator = 50256  # the end-of-document id of the vocabulary
+    token_counts.write_token_files(
+        documents, files, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, separator
+    )
+    return token_counts.scan(spark, files, separator)
+
+
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(langid.remainder("doc_id", 4) == 2, F.lit(False))
+    training = documents.where(~held_out).select("text", "lang")
+    told = langid.with_language(documents.select("doc_id", "text"), training)
+    return told.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     judged = quality.with_quality(documents)
@@ -75,6 +94,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_bpe": op2_bpe,
+        "op4_token_counts": op4_token_counts,
+        "op5_language_id": op5_language_id,
         "op6_quality_rules": op6_quality_rules,
         "op7_license_scan": op7_license_scan,
         "op8_chat_format": op8_chat_format,
