@@ -4,7 +4,7 @@
     ingest RAW ZONE STATE            take in newly arrived CSV files, then stop
     rebuild ZONE ROOT                ingested lines to the curated zone
     stats ROOT                       row counts and headline figures of a curated zone
-    report NAME ROOT                 print one report
+    report NAME ROOT [--out FOLDER]  print the head of a report, or write all of it as CSV
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from cartledger.session import prepare
 from cartledger.streaming import ingest
 from cartledger.warehouse import CuratedWarehouse
 
-REPORT_ROWS = 1000  # rows printed; the report itself is not limited
+REPORT_ROWS = 1000  # rows printed
 
 
 def _arguments(argv: list[str] | None) -> argparse.Namespace:
@@ -37,7 +37,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     command("ingest", "raw", "zone", "state")
     command("rebuild", "zone", "root")
     command("stats", "root")
-    command("report", "name", "root")
+    command("report", "name", "root").add_argument("--out", help="folder for the whole report")
     return parser.parse_args(argv)
 
 
@@ -49,6 +49,8 @@ def _tell(run: Curated) -> None:
 
 def _show(df: DataFrame) -> None:
     df.show(REPORT_ROWS, truncate=False)
+    if df.offset(REPORT_ROWS).limit(1).count():
+        print(f"Only the first {REPORT_ROWS} rows are printed; --out FOLDER writes all.")
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -67,7 +69,11 @@ def main(argv: list[str] | None = None) -> None:
         for name in ("total_revenue", "total_orders"):
             _show(registry.run(name, w))
     else:
-        _show(registry.run(a.name, CuratedWarehouse(spark, a.root, params)))
+        found = registry.run(a.name, CuratedWarehouse(spark, a.root, params))
+        if a.out:
+            found.write.mode("overwrite").option("header", "true").csv(a.out)
+        else:
+            _show(found)
 
 
 if __name__ == "__main__":

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cartledger.schemas import LINE_MONEY, MONEY
+from cartledger.schemas import MONEY
 
 
 def line_total(quantity: Column, unit_price: Column) -> Column:
-    return F.round(quantity * unit_price, 2).cast(LINE_MONEY)
+    """Rounded once, and wide: the declared type applies on load."""
+    return F.round(quantity * unit_price, 2).cast(MONEY)
 
 
 def total(amount: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartledger.operators.extracts import ORDER_COLUMNS
+from cartledger.schemas import PRICE
 
 IDENTITY = ["invoice_no", "stock_code", "quantity", "order_date"]
 CHOICE = ["customer_id", "unit_price"]
@@ -23,9 +24,31 @@ CHOICE = ["customer_id", "unit_price"]
 _COPIES_PER_CHUNK = 100_000
 
 
+# One number per choice, so that its minimum is a hash aggregate: customer, or one
+# above all customers when there is none, then price in its fourth digits.
+_PRICES = 10**15  # above the digits of a price on either side of zero
+_CUSTOMERS = 2**31
+_PACKED = "decimal(38,0)"
+
+
+def _number(value: int) -> Column:
+    return F.lit(str(value)).cast(_PACKED)
+
+
 def _preferred() -> Column:
-    """Smallest choice; the leading flag puts a missing customer last."""
-    return F.min(F.struct(F.col("customer_id").isNull().alias("anonymous"), *CHOICE))
+    """Smallest (customer, price), customers without a number last."""
+    customer = F.coalesce(F.col("customer_id").cast("long"), F.lit(_CUSTOMERS)) + _CUSTOMERS
+    price = F.coalesce((F.col("unit_price") * 10_000).cast("long") + _PRICES, F.lit(0))
+    return F.min((customer.cast("decimal(12,0)") * F.lit(str(2 * _PRICES)).cast("decimal(16,0)") + price.cast("decimal(20,0)")).cast(_PACKED))
+
+
+def _unpacked(kept: str) -> list[Column]:
+    price = F.col(kept) % _number(2 * _PRICES)
+    customer = ((F.col(kept) - price) / _number(2 * _PRICES)).cast("long") - _CUSTOMERS
+    return [
+        F.when(customer < _CUSTOMERS, customer).cast("int").alias("customer_id"),
+        F.when(price != 0, ((price.cast("long") - _PRICES).cast("decimal(18,0)") / 10_000).cast(PRICE)).alias("unit_price"),
+    ]
 
 
 def _agree(left: list[str], right: list[str]) -> Column:
@@ -36,7 +59,7 @@ def unique_lines(orders: DataFrame) -> DataFrame:
     return (
         orders.groupBy(*IDENTITY)
         .agg(_preferred().alias("kept"))
-        .select(*IDENTITY, *[F.col(f"kept.{c}") for c in CHOICE])
+        .select(*IDENTITY, *_unpacked("kept"))
         .select(*ORDER_COLUMNS)
     )
 
@@ -52,6 +75,7 @@ def removed_lines(orders: DataFrame) -> DataFrame:
         counted.groupBy(*IDENTITY)
         .agg(_preferred().alias("kept"), F.sum("copies").alias("lines"))
         .where("lines > 1")
+        .select(*IDENTITY, F.struct(*_unpacked("kept")).alias("kept"), "lines")
     )
     same_group = _agree([f"l.{c}" for c in IDENTITY], [f"r.{c}" for c in IDENTITY])
     is_kept = _agree([f"l.{c}" for c in CHOICE], [f"r.kept.{c}" for c in CHOICE])

@@ -15,6 +15,7 @@ from cartledger.functions.money import per_unit, total
 from cartledger.operators.ranking import dense_rank
 from cartledger.operators.star import completed
 from cartledger.params import Params
+from cartledger.schemas import TABLES
 from cartledger.staging import StageArea
 
 
@@ -48,12 +49,8 @@ def revenue_summary(fact: DataFrame, countries: DataFrame) -> DataFrame:
         total(F.col("order_total")).alias("total_revenue"),
         F.countDistinct("order_id").alias("total_orders"),
     ).select(
-        "country",
-        "month",
-        "total_revenue",
-        "total_orders",
-        per_unit(F.col("total_revenue"), F.col("total_orders")).alias("average_order_value"),
-    )
+        "*", per_unit(F.col("total_revenue"), F.col("total_orders")).alias("average_order_value")
+    ).select(*TABLES["revenue_summary"].column_names)
 
 
 def customer_retention(orders: DataFrame, params: Params) -> DataFrame:
@@ -88,7 +85,7 @@ def product_months(fact: DataFrame) -> DataFrame:
     )
 
 
-def product_performance(staged_product_months: DataFrame, params: Params, stage: StageArea) -> DataFrame:
+def product_performance(staged_product_months: DataFrame, stage: StageArea) -> DataFrame:
     return dense_rank(
-        staged_product_months, "total_revenue", "overall_rank", params, stage, within=["month"]
-    ).select("product_id", "month", "units_sold", "total_revenue", "overall_rank")
+        staged_product_months, "total_revenue", "overall_rank", stage, within=["month"]
+    ).select(*TABLES["product_performance"].column_names)

@@ -1,9 +1,8 @@
 """Orderings over a whole table that do not meet in one task.
 
-``Window.orderBy`` without a partition moves every row to one task.  Up to a
-counted number of rows that is the quickest plan and is used; above it the rows
-are range-partitioned by the ordering, sorted inside each partition, and
-numbered by partition offset plus position.  Both ways give the same numbers.
+``Window.orderBy`` without a partition moves every row to one task.  Here the
+rows are range-partitioned by the ordering, sorted inside each partition, and
+numbered by partition offset plus position, whatever their number.
 
 The frames that come in are expected to be cheap to read twice (a staged or
 stored table), because range partitioning samples its input first.
@@ -16,7 +15,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartledger.params import Params
 from cartledger.staging import StageArea
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition above, position below
@@ -56,7 +54,6 @@ def ntiles(
     df: DataFrame,
     tiles: int,
     orders: dict[str, tuple[Sequence[Column], Sequence[str]]],
-    params: Params,
     stage: StageArea,
 ) -> DataFrame:
     """Add one tile number per entry of ``orders``: name -> (ordering, its columns).
@@ -64,15 +61,11 @@ def ntiles(
     Tiles are those of ``ntile``: sizes differ by at most one, larger ones first.
     ``df`` is a staged table; each ordering must leave no ties.
     """
-    rows = df.count()
-    if rows <= params.single_task_rows:
-        return df.select(
-            "*", *[F.ntile(tiles).over(Window.orderBy(*order)).alias(name) for name, (order, _) in orders.items()]
-        )
     # The last row of each tile but the final one; a row's tile is one more
     # than the number of those rows that lie before it.
-    small, extra = divmod(rows, tiles)
-    ends = [t * small + min(t, extra) - 1 for t in range(1, tiles)]
+    rows = df.agg(F.count(F.lit(1))).scalar()
+    small, extra = F.floor(rows / tiles), rows % tiles
+    ends = [t * small + F.least(F.lit(t), extra) - 1 for t in range(1, tiles)]
     scored = df
     for name, (order, columns) in orders.items():
         cuts = (
@@ -90,19 +83,15 @@ def dense_rank(
     df: DataFrame,
     value: str,
     name: str,
-    params: Params,
     stage: StageArea,
     within: Sequence[str] = (),
 ) -> DataFrame:
     """Add the dense rank of ``value``, largest first, optionally within groups.
 
-    ``df`` is a staged table.  Above the row limit the distinct values are
-    numbered instead of the rows, so neither one big group nor one very common
-    value ends up in one task.
+    ``df`` is a staged table.  The distinct values are numbered instead of the
+    rows, so neither one big group nor one very common value ends up in one task.
     """
     largest_first = F.col(value).desc_nulls_last()
-    if df.count() <= params.single_task_rows:
-        return df.withColumn(name, F.dense_rank().over(Window.partitionBy(*within).orderBy(largest_first)))
     groups = [F.col(c).asc_nulls_first() for c in within]
     values = stage.table(df.select(*within, value).distinct(), f"{name}_values")
     indexed = row_index(values, [*groups, largest_first], stage, "_index")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartledger.operators.ranking import ntiles
-from cartledger.params import Params
 from cartledger.staging import StageArea
 
 # Number of tiles, and the segments as lowest and highest scores
@@ -41,7 +40,7 @@ def metrics(customer_orders: DataFrame) -> DataFrame:
     )
 
 
-def scores(staged_metrics: DataFrame, params: Params, stage: StageArea) -> DataFrame:
+def scores(staged_metrics: DataFrame, stage: StageArea) -> DataFrame:
     """Three tile numbers per customer; equal values are ordered by customer."""
 
     def ascending(metric: str) -> tuple[list[Column], list[str]]:
@@ -56,7 +55,6 @@ def scores(staged_metrics: DataFrame, params: Params, stage: StageArea) -> DataF
             "f_score": ascending("frequency"),
             "m_score": ascending("monetary"),
         },
-        params,
         stage,
     )
 
@@ -71,7 +69,7 @@ def segment_of(recency: Column, frequency: Column, monetary: Column) -> Column:
     return F.coalesce(found, F.lit(OTHERWISE))
 
 
-def segments(customer_orders: DataFrame, params: Params, stage: StageArea) -> DataFrame:
-    scored = scores(stage.table(metrics(customer_orders), "rfm_metrics"), params, stage)
+def segments(customer_orders: DataFrame, stage: StageArea) -> DataFrame:
+    scored = scores(stage.table(metrics(customer_orders), "rfm_metrics"), stage)
     segment = segment_of(F.col("r_score"), F.col("f_score"), F.col("m_score"))
     return scored.select("customer_id", segment.alias("customer_segment"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cartledger.functions.money import line_total, per_unit
 from cartledger.operators.quality import is_cancelling
+from cartledger.schemas import MONEY
 
 # The two states of an order.
 COMPLETED, CANCELLED = "Completed", "Cancelled"
@@ -44,7 +45,7 @@ def average_prices(fact: DataFrame) -> DataFrame:
 
 
 def dim_products(names: DataFrame, prices: DataFrame) -> DataFrame:
-    price = F.coalesce("avg_unit_price", F.lit(0)).cast("decimal(10,2)")
+    price = F.coalesce("avg_unit_price", F.lit(0).cast(MONEY))
     return names.join(prices, "product_id", "left").select("product_id", "product_name", price.alias("avg_unit_price"))
 
 

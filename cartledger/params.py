@@ -13,7 +13,6 @@ DEFAULT_WINDOW_END = "2011-12-31 23:59:59"
 
 @dataclass(frozen=True)
 class Params:
-    # -- meaning of the data
     window_start: str = DEFAULT_WINDOW_START
     window_end: str = DEFAULT_WINDOW_END
     lapsed_after_days: int = DEFAULT_LAPSED_AFTER_DAYS
@@ -22,12 +21,9 @@ class Params:
     histogram_bins: int = 40
     density_points: int = 200
 
-    # -- plan choice: a global ordering runs as one ordinary window up to this
-    #    many (counted) rows, and range-partitioned above it.
-    single_task_rows: int = 500_000
-
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> "Params":
+        """The names of the settings."""
         env = os.environ if env is None else env
         return cls(
             window_start=env.get("DATASET_START_DATE", DEFAULT_WINDOW_START),

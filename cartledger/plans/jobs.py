@@ -9,6 +9,7 @@ from cartledger.functions.money import total
 from cartledger.plans import audit
 from cartledger.plans.pipeline import Curated, curate
 from cartledger.schemas import RAW_SCHEMA
+from cartledger.sinks.parquet import write_table
 from cartledger.sources import csv_files, curated
 from cartledger.streaming import ingest
 from cartledger.warehouse import Warehouse
@@ -38,8 +39,10 @@ def _curate(w: Warehouse) -> Curated:
 
 
 def curated_write(w: Warehouse) -> DataFrame:
-    """What the month-partitioned fact table holds after a run."""
-    fact = curated.read_table(w.spark, _curate(w).warehouse.root, "fact_orders")
+    """What the month-partitioned fact table holds after it was written."""
+    root = w.stage.path("curated")
+    write_table(w.fact, root, "fact_orders")
+    fact = curated.read_table(w.spark, root, "fact_orders")
     return fact.groupBy(curated.MONTH, "order_status").agg(
         F.count(F.lit(1)).alias("line_count"),
         F.sum("quantity").alias("units"),

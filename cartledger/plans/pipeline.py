@@ -44,6 +44,7 @@ def curate(
     try:
         source = Warehouse(lines, params, rules, segmenter, stage)
         write_table(source.fact, root, "fact_orders")
+        curated.write_params(spark, root, params)
         w = source.on_fact(curated.read_fact(spark, root))
         with ThreadPoolExecutor(WRITERS) as pool:
             counted = pool.submit(lambda: quality.summary(source.orders, source.rules).first().asDict())

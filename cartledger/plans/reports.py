@@ -164,7 +164,7 @@ def product_revenue(w: Warehouse) -> DataFrame:
 
 def product_revenue_ranking(w: Warehouse) -> DataFrame:
     staged = w.stage.table(product_revenue(w), "product_revenue")
-    return dense_rank(staged, "total_revenue", "revenue_rank", w.params, w.stage)
+    return dense_rank(staged, "total_revenue", "revenue_rank", w.stage)
 
 
 def product_units_sold(w: Warehouse) -> DataFrame:
@@ -176,8 +176,7 @@ def product_units_sold(w: Warehouse) -> DataFrame:
 
 def no_sales_last_60_days(w: Warehouse) -> DataFrame:
     """Products without a line, of whatever status, in the days before the latest line."""
-    since = w.last_line - F.make_dt_interval(days=F.lit(w.params.quiet_days))
-    recent = w.fact_since(since).select("product_id").distinct()
+    recent = w.products_sold_within(w.params.quiet_days)
     return w.product_names.join(recent, "product_id", "left_anti").select("product_id", "product_name")
 
 

@@ -44,14 +44,19 @@ def top_countries(w: Warehouse) -> DataFrame:
 
 
 def _pivot(w: Warehouse, monthly: DataFrame, ranking: DataFrame) -> DataFrame:
-    """Countries of the ranking in rows, every month of the date window in columns."""
-    best = ranking.orderBy(F.desc("revenue"), F.col("country").asc_nulls_last()).limit(TOP_COUNTRIES)
+    """Countries of the ranking in rows; in columns every month of the date window, and any other that has revenue.
+
+    Countries without a name are not ranked.  There is one month name per month
+    of the calendar, so the list that is looked up stays short.
+    """
+    monthly = monthly.select("country", year_month(F.col("month")).alias("year_month"), "revenue")
+    found = {r[0] for r in monthly.select("year_month").distinct().collect()}
+    best = ranking.where("country IS NOT NULL").orderBy(F.desc("revenue"), F.col("country").asc_nulls_last()).limit(TOP_COUNTRIES)
     best_first = Window.orderBy(F.desc("revenue"), F.col("country").asc_nulls_last())
     ranked = best.select("country", F.row_number().over(best_first).alias("country_rank"))
-    months = w.params.months()
+    months = sorted(found.union(w.params.months()))
     return (
-        monthly.select("country", year_month(F.col("month")).alias("year_month"), "revenue")
-        .join(ranked, "country")
+        monthly.join(ranked, "country")
         .groupBy("country", "country_rank")
         .pivot("year_month", months)
         .agg(total(F.col("revenue")))
@@ -67,10 +72,11 @@ def heatmap_pivot(w: Warehouse) -> DataFrame:
 
 
 def heatmap_pivot_by_country_revenue(w: Warehouse) -> DataFrame:
-    """Top countries by the country report (the static chart's choice)."""
-    w = w.settle()
-    ranking = reports.revenue_per_country(w).withColumnRenamed("total_revenue", "revenue")
-    return _pivot(w, reports.heatmap_revenue(w), ranking)
+    """Top countries by the country report (the static chart's choice).
+
+    A country's revenue is the sum of its months, so the monthly table gives both.
+    """
+    return heatmap_pivot(w)
 
 
 def top_bottom_products(w: Warehouse) -> DataFrame:
@@ -217,23 +223,21 @@ def order_value_density(w: Warehouse, cap: int | None = None) -> DataFrame:
             (F.sqrt(spread / F.nullif(n - 1, F.lit(0.0))) * F.pow(n, F.lit(-0.2))).alias("width"),
         )
     ).scalar()
-    weighted = (
-        values.select("*", shape.alias("s"))
-        .where("s.high > s.low")
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-        .select("*", F.expr(f"s.low + (s.high - s.low) * point / {points - 1}").alias("order_value"))
-        .select("*", F.expr("(order_value - v) / s.width").alias("z"))
+    # One aggregate with a sum per point; the rows are not multiplied.
+    at = [F.expr(f"s.low + (s.high - s.low) * {i} / {points - 1}") for i in range(points)]
+    z = [(x - F.col("v")) / F.col("s.width") for x in at]
+    kernels = values.select("*", shape.alias("s")).where("s.high > s.low").groupBy("s").agg(
+        F.array(*[F.sum(F.col("orders") * F.exp(F.lit(-0.5) * d * d)) for d in z]).alias("kernels")
     )
-    kernel = F.sum(F.expr("orders * exp(-0.5D * z * z)"))
-    scale = F.first("s.n") * F.first("s.width") * F.sqrt(2 * F.pi())
-    density = kernel / scale
-    bin_width = (F.first("s.high") - F.first("s.low")) / w.params.histogram_bins
-    return (
-        weighted.groupBy("point")
-        .agg(
-            F.round(F.first("order_value"), 6).alias("order_value"),
-            F.round(density, 9).alias("density"),
-            F.round(density * F.first("s.n") * bin_width, 6).alias("expected_orders"),
-        )
-        .orderBy("point")
+    curve = kernels.select("s", F.posexplode("kernels").alias("point", "kernel")).select(
+        "point",
+        F.expr(f"s.low + (s.high - s.low) * point / {points - 1}").alias("order_value"),
+        (F.col("kernel") / (F.col("s.n") * F.col("s.width") * F.sqrt(2 * F.pi()))).alias("density"),
+        (F.col("s.n") * (F.col("s.high") - F.col("s.low")) / w.params.histogram_bins).alias("scale"),
     )
+    return curve.select(
+        "point",
+        F.round("order_value", 6).alias("order_value"),
+        F.round("density", 9).alias("density"),
+        F.round(F.col("density") * F.col("scale"), 6).alias("expected_orders"),
+    ).orderBy("point")

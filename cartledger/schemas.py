@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PRICE = T.DecimalType(14, 4)
-LINE_MONEY = T.DecimalType(12, 2)
 MONEY = T.DecimalType(24, 2)
 
 CORRUPT = "corrupt_record"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from cartledger.schemas import TABLES, conform
-from cartledger.sources.jdbc import Store, read_table
+from cartledger.sources.jdbc import Store, count_rows
 from cartledger.warehouse import Warehouse
 
 
@@ -41,7 +41,7 @@ def refresh(w: Warehouse, store: Store) -> dict[str, int]:
     for key, df in frames.items():
         name = TABLES[key].name
         append(df, store, name)
-        expected, found = df.count(), read_table(w.spark, store, name).count()
+        expected, found = df.count(), count_rows(w.spark, store, name)
         if expected != found:
             raise RuntimeError(f"{name}: {expected} rows sent, {found} rows in the store")
         loaded[name] = found

@@ -14,6 +14,8 @@ READ_SCHEMA = T.StructType([*RAW_SCHEMA.fields, T.StructField(CORRUPT, T.StringT
 def csv_options(multi_line: bool = True) -> dict[str, str]:
     """Quotes inside a field are doubled; a row that does not parse is kept as text.
 
+    No time layout is set: every ISO form of a date and time is read.
+
     ``multi_line`` lets quoted fields hold line breaks, at the price that one
     file is one task.  Switch it off for large files known to have none, so
     that they are split.
@@ -24,7 +26,6 @@ def csv_options(multi_line: bool = True) -> dict[str, str]:
         "multiLine": str(multi_line).lower(),
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": CORRUPT,
-        "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss",
     }
 
 
@@ -36,8 +37,8 @@ def read_raw(spark: SparkSession, path: str | list[str], multi_line: bool = True
 def to_lines(raw: DataFrame) -> DataFrame:
     """Raw columns under the names and types every operator expects.
 
-    Customer numbers arrive as ``13085.0``; one that is no integer becomes null
-    rather than an error.  The text of unparsed rows, when read, is carried on.
+    Customer numbers arrive as ``13085.0`` and lose what stands after the point;
+    one that is no number becomes null rather than an error.  The text of unparsed rows, when read, is carried on.
     """
     carried = [CORRUPT] if CORRUPT in raw.columns else []
     return raw.select(

@@ -49,5 +49,15 @@ def read_options(store: Store, table: str, split: KeyRange | None = None) -> dic
     return options
 
 
+def count_options(store: Store, table: str) -> dict[str, str]:
+    """Options under which the store itself counts the rows."""
+    options = {k: v for k, v in store.options(table).items() if k not in ("dbtable", "numPartitions")}
+    return {**options, "query": f"SELECT count(*) AS n FROM {table}"}
+
+
+def count_rows(spark: SparkSession, store: Store, table: str) -> int:
+    return int(spark.read.format("jdbc").options(**count_options(store, table)).load().first()[0])
+
+
 def read_table(spark: SparkSession, store: Store, table: str, split: KeyRange | None = None) -> DataFrame:
     return spark.read.format("jdbc").options(**read_options(store, table, split)).load()

@@ -29,17 +29,6 @@ SCHEMAS = {
 }
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """A table stored in fewer pieces than there are cores, shared out among them.
-
-    A file with one row group is read by one task, and that task would do all
-    the work up to the next shuffle.  Larger tables stay as they are: an
-    explicit repartition would keep adaptive execution from splitting hot keys.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(key) if df.rdd.getNumPartitions() < cores // 2 else df
-
-
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     t = {name: spark.read.schema(columns).parquet(f"{folder}/{name}.parquet") for name, columns in SCHEMAS.items()}
     # Orders meet their customers first, so that lines are joined (and, when the
@@ -47,8 +36,8 @@ def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     # depend on one table alone are computed there.
     buys = (
         t["orders"]
-        .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
-        .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"), "left")
+        .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .select(
             "o_orderkey",
             F.when(F.col("o_custkey") % 20 != 0, F.col("o_custkey")).cast("int").alias("customer_id"),
@@ -64,9 +53,9 @@ def read_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.col("p_retailprice").cast("decimal(10,2)").alias("list_price"),
     )
     joined = (
-        _spread(t["lineitem"], "l_orderkey")
-        .join(buys, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(goods, F.col("l_partkey") == F.col("p_partkey"))
+        t["lineitem"]
+        .join(buys, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        .join(goods, F.col("l_partkey") == F.col("p_partkey"), "left")
     )
     returned = F.col("l_returnflag") == "R"
     line_no, part_no = F.col("l_linenumber"), F.col("l_partkey")

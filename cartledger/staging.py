@@ -14,6 +14,7 @@ import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 WRITERS = 4  # tables written at the same time
@@ -24,6 +25,7 @@ _areas: dict[str, "StageArea"] = {}
 class StageArea:
     def __init__(self, spark: SparkSession, root: str):
         self._spark = spark
+        self._jvm, self._hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
         self.root = root.rstrip("/")
         self._written: list[str] = []
 
@@ -32,7 +34,9 @@ class StageArea:
         """The session's stage area (one folder per application)."""
         app = spark.sparkContext.applicationId
         if app not in _areas:
-            _areas[app] = cls(spark, f"{_shared_folder(spark)}/cartledger/{app}")
+            area = cls(spark, f"{_shared_folder(spark)}/cartledger/{app}")
+            _areas[app] = area
+            atexit.register(area._release_at_exit)
         return _areas[app]
 
     @classmethod
@@ -60,11 +64,19 @@ class StageArea:
 
     def release(self) -> None:
         """Delete the folders this area has handed out."""
-        jvm = self._spark._jvm
-        conf = self._spark._jsc.hadoopConfiguration()
         while self._written:
-            path = jvm.org.apache.hadoop.fs.Path(self._written.pop())
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(self._written.pop())
+
+    def _delete(self, path: str) -> None:
+        path = self._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self._hadoop).delete(path, True)
+
+    def _release_at_exit(self) -> None:
+        """The whole area goes when the application ends, its session stopped or not."""
+        try:
+            self._delete(self.root)
+        except (Py4JError, OSError):
+            pass  # the JVM has gone first
 
 
 def _shared_folder(spark: SparkSession) -> str:

@@ -8,6 +8,7 @@ looks at the whole history.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
@@ -23,7 +24,7 @@ from cartledger.params import Params
 from cartledger.schemas import CORRUPT, LINE_SCHEMA
 from cartledger.sources.csv_files import READ_SCHEMA, csv_options, to_lines
 
-VERDICT, BATCH = "verdict", "batch_id"
+VERDICT, STREAM, BATCH = "verdict", "stream_id", "batch_id"
 
 
 def arriving_lines(
@@ -62,16 +63,20 @@ def ingest_available(
     """Start a query that takes in what has arrived and then stops.
 
     Valid and rejected lines go to partitions of their own, named after the
-    batch.  A batch that runs again replaces exactly those partitions.
+    query and the batch.  A batch that runs again replaces exactly those
+    partitions; streams with other states write beside it.
     """
     rules = quality.default_rules(params) if rules is None else list(rules)
+    stream_id = ""
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        nonlocal stream_id
+        stream_id = stream_id or _stream_id(spark, checkpoint)
         (
-            batch.withColumn(BATCH, F.lit(batch_id))
+            batch.withColumns({STREAM: F.lit(stream_id), BATCH: F.lit(batch_id)})
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(VERDICT, BATCH)
+            .partitionBy(VERDICT, STREAM, BATCH)
             .parquet(line_zone)
         )
 
@@ -84,6 +89,11 @@ def ingest_available(
     )
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The query's id, which its state keeps over restarts."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
+
 def _zone(spark: SparkSession, line_zone: str) -> DataFrame:
     return spark.read.option("mergeSchema", "false").parquet(line_zone)
 

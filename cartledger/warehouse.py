@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartledger.functions.dates import latest
@@ -87,7 +87,7 @@ class Warehouse:
     def segments(self) -> DataFrame:
         if self._segmenter is not None:
             return self._segmenter(self.fact)
-        return rfm.segments(self.customer_orders, self.params, self.stage)
+        return rfm.segments(self.customer_orders, self.stage)
 
     @cached_property
     def dim_customers(self) -> DataFrame:
@@ -104,13 +104,16 @@ class Warehouse:
         """Completed orders per customer; staged, because several tables start here."""
         return self.stage.table(marts.customer_orders(self.fact), "customer_orders")
 
-    @cached_property
-    def last_line(self) -> Column:
-        """Latest line of whatever status.  Duplicates share their time, so valid lines will do."""
-        return latest(self.valid_orders, "order_date")
+    def products_sold_within(self, days: int) -> DataFrame:
+        """product_id of every line, of whatever status, in the days before the latest one.
 
-    def fact_since(self, moment: Column) -> DataFrame:
-        return self.fact.where(F.col("order_date") >= moment)
+        Duplicates share product and time, so valid lines will do, and one pass
+        to the last line of each product gives both dates.
+        """
+        last = self.valid_orders.groupBy(F.col("stock_code").alias("product_id")).agg(F.max("order_date").alias("last_line"))
+        last = self.stage.table(last, "last_lines")
+        since = latest(last, "last_line") - F.make_dt_interval(days=F.lit(days))
+        return last.where(F.col("last_line") >= since).select("product_id")
 
     @cached_property
     def revenue_summary(self) -> DataFrame:
@@ -128,7 +131,7 @@ class Warehouse:
     @cached_property
     def product_performance(self) -> DataFrame:
         staged = self.stage.table(self.product_months, "product_months")
-        return marts.product_performance(staged, self.params, self.stage)
+        return marts.product_performance(staged, self.stage)
 
     def table(self, key: str) -> DataFrame:
         if key not in TABLES:
@@ -149,9 +152,13 @@ class Warehouse:
         """The same warehouse over a fact table that has been written."""
         settled = Warehouse(self.lines, self.params, self.rules, self._segmenter, self.stage)
         settled.fact = fact
-        settled.last_line = latest(settled.fact, "order_date")
         return settled
 
+    def counted(self, key: str) -> DataFrame:
+        """A frame with as many rows as the table, without the columns that take most work."""
+        smaller = {"dim_customers": "countries", "dim_products": "product_names", "product_performance": "product_months"}
+        return getattr(self, smaller[key]) if key in smaller else self.table(key)
+
 
 class CuratedWarehouse(Warehouse):
     """The same tables, read from a curated folder."""
@@ -159,7 +166,7 @@ class CuratedWarehouse(Warehouse):
     def __init__(self, spark: SparkSession, root: str, params: Params = Params()):
         self.spark = spark
         self.root = root
-        self.params = params
+        self.params = curated.params_of(spark, root, params)
 
     def _read(self, key: str) -> DataFrame:
         return curated.read_table(self.spark, self.root, key)
@@ -172,12 +179,13 @@ class CuratedWarehouse(Warehouse):
     def customer_orders(self) -> DataFrame:
         return marts.customer_orders(self.fact)
 
-    @cached_property
-    def last_line(self) -> Column:
-        return latest(self.fact, "order_date")
+    def products_sold_within(self, days: int) -> DataFrame:
+        since = latest(self.fact, "order_date") - F.make_dt_interval(days=F.lit(days))
+        fact = curated.since(curated.read_table(self.spark, self.root, "fact_orders"), since)
+        return fact.select("product_id").distinct()
 
-    def fact_since(self, moment: Column) -> DataFrame:
-        return curated.since(curated.read_table(self.spark, self.root, "fact_orders"), moment)
+    def counted(self, key: str) -> DataFrame:
+        return self.table(key)
 
     dim_customers = cached_property(lambda self: self._read("dim_customers"))
     dim_products = cached_property(lambda self: self._read("dim_products"))

@@ -253,6 +253,18 @@ FACT = f"""order_id, customer_id, product_id, order_date, quantity, {_dbl('CAST(
            {_dbl('line_total', 'line_total')}, order_status"""
 
 
+SUMMARY = f"""country, {_iso('month', 'month')}, {_dbl('total_revenue', 'total_revenue')}, CAST(total_orders AS INTEGER) AS total_orders,
+           {_dbl('average_order_value', 'average_order_value')}"""
+RETENTION = f"""customer_id, CAST(total_orders AS INTEGER) AS total_orders, {_dbl('lifetime_spend', 'lifetime_spend')},
+           {_iso('first_order_date', 'first_order_date')}, {_iso('last_order_date', 'last_order_date')}, customer_status"""
+PERFORMANCE = f"""product_id, {_iso('month', 'month')}, CAST(units_sold AS INTEGER) AS units_sold,
+           {_dbl('total_revenue', 'total_revenue')}, CAST(overall_rank AS INTEGER) AS overall_rank"""
+
+
+def _place(name: str, order: str) -> str:
+    return f"row_number() OVER (ORDER BY {order}) AS {name}"
+
+
 def _histogram(cap: str, bins: int) -> str:
     return f"""
         , v AS (SELECT c FROM order_cents WHERE c {cap} * 100),
@@ -442,6 +454,18 @@ def texts(p: Params = PARAMS, lines: str | None = None) -> dict[str, str]:
             f"""SELECT row_number() OVER (ORDER BY order_id, customer_id NULLS LAST, product_id, order_date, quantity)
                        AS order_line_id, {FACT} FROM fact""",
         ),
+        "revenue_summary_keyed": q("summ", f"SELECT {_place('summary_id', 'country, month')}, {SUMMARY} FROM summ"),
+        "customer_retention_keyed": q("ret", f"SELECT {_place('retention_id', 'customer_id')}, {RETENTION} FROM ret"),
+        "product_performance_keyed": q("perf", f"SELECT {_place('performance_id', 'product_id, month')}, {PERFORMANCE} FROM perf"),
+        "table_preview_fact_orders": q(
+            "fact", f"SELECT {FACT} FROM fact ORDER BY order_id, customer_id NULLS LAST, product_id, fact.order_date, quantity LIMIT 10"
+        ),
+        "table_preview_dim_products": q(
+            "dimp", f"SELECT product_id, product_name, {_dbl('avg_unit_price', 'avg_unit_price')} FROM dimp ORDER BY product_id LIMIT 10"
+        ),
+        "table_preview_revenue_summary": q("summ", f"SELECT {SUMMARY} FROM summ ORDER BY country, summ.month LIMIT 10"),
+        "table_preview_customer_retention": q("ret", f"SELECT {RETENTION} FROM ret ORDER BY customer_id LIMIT 10"),
+        "table_preview_product_performance": q("perf", f"SELECT {PERFORMANCE} FROM perf ORDER BY product_id, perf.month LIMIT 10"),
         "dim_products": q("dimp", f"SELECT product_id, product_name, {_dbl('avg_unit_price', 'avg_unit_price')} FROM dimp"),
         "dim_customers": q("dimc", "SELECT * FROM dimc"),
         "rfm_segments": q("seg", "SELECT * FROM seg"),

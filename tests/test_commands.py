@@ -26,6 +26,18 @@ def test_etl_stats_and_report(spark, raw, tmp_path, capsys):
     assert "Fact - Orders" in told and "3.00" in told
     main(["report", "revenue_per_country", root])
     assert "Eire" in capsys.readouterr().out
+    main(["report", "revenue_per_country", root, "--out", str(tmp_path / "written")])
+    assert spark.read.option("header", "true").csv(str(tmp_path / "written")).first()["country"] == "Eire"
+
+
+def test_a_cut_report_says_so(spark, monkeypatch, capsys):
+    from cartledger import __main__ as command
+
+    monkeypatch.setattr(command, "REPORT_ROWS", 3)
+    command._show(spark.range(3))
+    assert "--out" not in capsys.readouterr().out
+    command._show(spark.range(4))
+    assert "Only the first 3 rows" in capsys.readouterr().out
 
 
 def test_ingest_and_rebuild(spark, raw, tmp_path, capsys):

@@ -175,16 +175,46 @@ def test_stream_takes_each_csv_file_once(spark, tmp_path):
     assert (done.quality["input_rows"], done.warehouse.fact.count()) == (5, 3)
 
 
+def test_streams_with_states_of_their_own_keep_all_lines(spark, tmp_path):
+    zone = str(tmp_path / "zone")
+    for number, folder in enumerate(("a", "b")):
+        os.makedirs(tmp_path / folder)
+        (tmp_path / folder / "x.csv").write_text(HEADER + GOOD.format(number))
+        ingest.ingest_available(spark, str(tmp_path / folder), zone, str(tmp_path / f"state_{folder}")).awaitTermination()
+    assert rows(ingest.valid_lines(spark, zone), "invoice_no") == [("0",), ("1",)]
+
+
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):
-    raw, zone = (str(tmp_path / n) for n in ("raw", "zone"))
+    raw, zone, state = (str(tmp_path / n) for n in ("raw", "zone", "state"))
     os.makedirs(raw)
     with open(f"{raw}/a.csv", "w") as f:
         f.write(HEADER + GOOD.format(1) + BAD.format(2))
-    # Two queries with separate state both take the file in, as batch 0.
-    for state in ("one", "two"):
-        ingest.ingest_available(spark, raw, zone, str(tmp_path / state)).awaitTermination()
+    ingest.ingest_available(spark, raw, zone, state).awaitTermination()
+    for name in os.listdir(f"{state}/commits"):  # as if the query had died before it noted the batch as done
+        os.rename(f"{state}/commits/{name}", tmp_path / f"old-{name}")
+    ingest.ingest_available(spark, raw, zone, state).awaitTermination()
     assert (ingest.valid_lines(spark, zone).count(), ingest.rejected_lines(spark, zone).count()) == (1, 2)
 
 
+def test_the_pivot_takes_its_months_from_the_zone(spark, lines_of, tmp_path):
+    from cartledger.plans import shapes
+
+    window = Params(window_start="2010-01-01 00:00:00", window_end="2010-03-31 23:59:59")
+    root = str(tmp_path / "zone")
+    wanted = shapes.heatmap_pivot(curate(lines_of(SOME), root, window).warehouse)
+    other = shapes.heatmap_pivot(CuratedWarehouse(spark, root, Params(window_start="1999-01-01 00:00:00", window_end="1999-12-31 00:00:00")))
+    assert other.columns == wanted.columns == ["country", "country_rank", "2010-01", "2010-02", "2010-03"]
+    assert rows(other) == rows(wanted)
+
+
+def test_the_pivot_loses_no_month_and_no_place(warehouse_of):
+    from cartledger.plans import shapes
+
+    some = [line(invoice=str(i), customer=i, country=None if i == 1 else f"land {i:02d}", price="900" if i == 1 else "1") for i in range(1, 13)]
+    some.append(line(invoice="x", customer=2, country="land 02", when="2031-07-01 00:00:00", price="7"))
+    pivot = shapes.heatmap_pivot(warehouse_of(some, rules=[]))
+    assert "2031-07" in pivot.columns and pivot.count() == 10 and pivot.where("country IS NULL").count() == 0
+
+
 def test_stage_folder_is_the_named_one(spark):
     assert StageArea.of(spark).root.startswith(spark.conf.get("spark.checkpoint.dir"))

@@ -156,11 +156,20 @@ def test_no_lines_at_all(warehouse_of):
         assert df.count() == 0, key
 
 
-def test_spread_orderings_give_the_same_tables(warehouse_of):
-    some = [
-        line(invoice=str(i), stock=f"S{i % 9}", customer=i % 17 or None, price=f"{i % 5}.50", when=f"2010-{i % 12 + 1:02d}-03 00:00:00")
-        for i in range(300)
-    ]
-    plain, spread = warehouse_of(some), warehouse_of(some, Params(single_task_rows=0))
-    assert rows(plain.segments) == rows(spread.segments)
-    assert rows(plain.product_performance) == rows(spread.product_performance)
+def test_a_line_too_large_for_its_declared_type_ends_no_report(warehouse_of):
+    from cartledger.plans import audit, reports
+
+    w = warehouse_of([line(quantity=2_000_000, price="99999.99"), line(invoice="2")])
+    assert reports.total_revenue(w).first()[0] == Decimal("199999980001.00")
+    found = {(r.table, r.check, r.column): r.violations for r in audit.constraint_audit(w.stored().get).collect()}
+    assert found["fact_orders", "range", "line_total"] == 1
+
+
+def test_ranks_and_tiles_have_no_window_over_the_rows(warehouse_of):
+    w = warehouse_of([line(invoice=str(i), stock=f"S{i % 9}", customer=i % 17 or None) for i in range(50)])
+    from cartledger.plans import reports
+
+    for df in (w.segments, w.product_performance, reports.product_revenue_ranking(w)):
+        main = df._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+        for chunk in main.split("BroadcastExchange")[:1]:
+            assert "Window" not in chunk and "SinglePartition" not in chunk

@@ -41,6 +41,8 @@ def test_deduplication_reduces_before_the_shuffle_and_uses_no_window(stored):
     plan = plan_of(stored.unique_orders)
     assert "Window" not in plan and plan.count("Exchange") == 1
     assert "partial_min" in plan[plan.index("Exchange"):]
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert "SortAggregate" not in plan_of(dedup.removed_lines(stored.valid_orders))
 
 
 def test_removed_lines_count_copies_before_the_shuffle(stored):

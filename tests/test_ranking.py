@@ -1,15 +1,13 @@
-"""Global orderings: the range-partitioned way against the plain window."""
+"""Global orderings: range-partitioned numbers against the plain window's."""
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cartledger.operators import ranking
-from cartledger.params import Params
 from cartledger.staging import StageArea
 from tests.conftest import rows
 
-SPREAD, PLAIN = Params(single_task_rows=0), Params()
 
 
 @pytest.fixture(scope="module")
@@ -26,14 +24,13 @@ def test_tiles_are_those_of_ntile(spark, stage, n):
     df = stage.table(numbers(spark, n), "numbers")
     order = [F.asc("v"), F.asc("id")]
     wanted = rows(df.withColumn("t", F.ntile(5).over(Window.orderBy(*order))), "id", "t")
-    for params in (SPREAD, PLAIN):
-        got = ranking.ntiles(df, 5, {"t": (order, ["v", "id"])}, params, stage)
-        assert rows(got, "id", "t") == wanted
+    got = ranking.ntiles(df, 5, {"t": (order, ["v", "id"])}, stage)
+    assert rows(got, "id", "t") == wanted
 
 
 def test_tile_sizes_differ_by_at_most_one(spark, stage):
     df = stage.table(numbers(spark, 1003, distinct=1), "numbers")
-    got = ranking.ntiles(df, 5, {"t": ([F.asc("v"), F.asc("id")], ["v", "id"])}, SPREAD, stage)
+    got = ranking.ntiles(df, 5, {"t": ([F.asc("v"), F.asc("id")], ["v", "id"])}, stage)
     assert sorted(r["count"] for r in got.groupBy("t").count().collect()) == [200, 200, 201, 201, 201]
 
 
@@ -43,8 +40,7 @@ def test_dense_rank_is_the_window_function(spark, stage, within):
     df = stage.table(df.withColumn("v", F.when(F.col("v") != 4, F.col("v"))), "grouped")
     window = Window.partitionBy(*within).orderBy(F.col("v").desc_nulls_last())
     wanted = rows(df.withColumn("r", F.dense_rank().over(window)), "id", "r")
-    for params in (SPREAD, PLAIN):
-        assert rows(ranking.dense_rank(df, "v", "r", params, stage, within=within), "id", "r") == wanted
+    assert rows(ranking.dense_rank(df, "v", "r", stage, within=within), "id", "r") == wanted
 
 
 def test_keys_are_dense_and_follow_the_order(spark, stage):
@@ -56,7 +52,7 @@ def test_keys_are_dense_and_follow_the_order(spark, stage):
 
 def test_the_spread_plan_has_no_window_over_the_rows(spark, stage):
     df = stage.table(numbers(spark, 100), "numbers")
-    plan = ranking.ntiles(df, 5, {"t": ([F.asc("v"), F.asc("id")], ["v", "id"])}, SPREAD, stage)
+    plan = ranking.ntiles(df, 5, {"t": ([F.asc("v"), F.asc("id")], ["v", "id"])}, stage)
     text = plan._jdf.queryExecution().executedPlan().toString()
     main = text.split("Subquery")[0]
     assert "Window" not in main and "SinglePartition" not in main

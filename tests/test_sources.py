@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 
 from cartledger.sources import csv_files
-from cartledger.sources.jdbc import KeyRange, Store, read_options
+from cartledger.sources.jdbc import KeyRange, Store, count_options, read_options
 from cartledger.sinks import jdbc
 from tests.conftest import rows
 
@@ -47,6 +47,16 @@ def test_missing_values_and_odd_customers(spark, csv):
     ]
 
 
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_every_layout_of_a_time(spark, csv, multi_line):
+    times = ["2010-01-01T10:00:00", "2010-01-01 10:00", "2010-01-01 10:00:05.5", "2010-01-01", "2010-01-01 10:00:00", "soon"]
+    path = csv(*[f"{i},A,x,1,{t},1.00,1.0,x" for i, t in enumerate(times)])
+    ten = dt.datetime(2010, 1, 1, 10)
+    wanted = [ten, ten, ten + dt.timedelta(seconds=5.5), dt.datetime(2010, 1, 1), ten, None]
+    got = sorted((r.invoice_no, r.order_date) for r in csv_files.read_lines(spark, path, multi_line).collect())
+    assert [when for _, when in got] == wanted
+
+
 def test_line_breaks_in_quotes(spark, csv):
     path = csv('1,A,"two\nlines",1,2010-01-01 00:00:00,1.00,1.0,x', "2,B,one,1,2010-01-01 00:00:00,1.00,1.0,x")
     assert rows(csv_files.read_lines(spark, path), "stock_code", "description") == [("A", "two\nlines"), ("B", "one")]
@@ -75,6 +85,8 @@ def test_store_options():
     emptied = jdbc.truncate_options(STORE, "dim_customers")
     assert emptied["truncate"] == "true" and emptied["cascadeTruncate"] == "true"
     assert jdbc.write_options(STORE, "dim_customers")["batchsize"] == "10000"
+    counted = count_options(STORE, "dim_customers")
+    assert counted["query"] == "SELECT count(*) AS n FROM dim_customers" and "dbtable" not in counted
 
 
 def test_refresh_empties_children_first_and_loads_parents_first(warehouse_of, monkeypatch):
@@ -82,13 +94,9 @@ def test_refresh_empties_children_first_and_loads_parents_first(warehouse_of, mo
 
     calls, held = [], {}
 
-    class Counted:
-        def __init__(self, n):
-            self.count = lambda: n
-
     monkeypatch.setattr(jdbc, "truncate", lambda like, store, table: (calls.append(("truncate", table)), held.pop(table, None)))
     monkeypatch.setattr(jdbc, "append", lambda df, store, table: (calls.append(("append", table)), held.update({table: df.count()})))
-    monkeypatch.setattr(jdbc, "read_table", lambda spark, store, table: Counted(held[table]))
+    monkeypatch.setattr(jdbc, "count_rows", lambda spark, store, table: held[table])
     loaded = jdbc.refresh(warehouse_of([line(), line(invoice="2")]), STORE)
     tables = [
         "dim_customers", "dim_products", "fact_orders", "analytics.revenue_summary",
@@ -96,6 +104,6 @@ def test_refresh_empties_children_first_and_loads_parents_first(warehouse_of, mo
     ]
     assert calls == [("truncate", t) for t in reversed(tables)] + [("append", t) for t in tables]
     assert loaded["fact_orders"] == 2
-    monkeypatch.setattr(jdbc, "read_table", lambda spark, store, table: Counted(held[table] + 1))
+    monkeypatch.setattr(jdbc, "count_rows", lambda spark, store, table: held[table] + 1)
     with pytest.raises(RuntimeError):
         jdbc.refresh(warehouse_of([line()]), STORE)
