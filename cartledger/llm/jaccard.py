@@ -24,7 +24,9 @@ uses as many as are missing, rarest first in an order that is the same for all
 sets are first compared with the smallest of the lane; only sets that then still
 lie in different components are compared with each other.
 
-*Verify.*  Every candidate pair is checked on its whole sets.
+*Verify.*  A second sketch of 1024 bits, one of which each shingle flips, gives
+another lower bound of the difference; candidates that pass it are checked on
+their whole sets.
 
 Defined results: words are the runs without white space, A-Z lowered; a text
 with fewer words than the width is one shingle; a text without words or a null
@@ -162,8 +164,8 @@ def _signature(content: np.ndarray, band: np.ndarray, lane: np.ndarray) -> np.nd
     return (signature & ~np.uint64(1)) | (band & np.uint64(1))
 
 
-def _sketches(sets: Sets, rule: Similarity) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For the own band and the one below: (own?, sets, lanes not needed, signatures, their sets).
+def _sketches(sets: Sets, rule: Similarity) -> Iterator[tuple]:
+    """For the own band and the one below: (own?, sets, filled lanes, lanes not needed, signatures, their sets).
 
     The number of lanes not needed is negative for a set that has to join its
     empty lanes; their signatures are then among those returned.
@@ -182,7 +184,8 @@ def _sketches(sets: Sets, rule: Similarity) -> Iterator[tuple[bool, np.ndarray,
         b = band[chosen] - (not own)
         k = lanes[b]
         signatures, owner = _lanes(sets, chosen, b, k)
-        spare = np.bincount(owner, minlength=len(chosen)) - most[chosen] - 1
+        full = np.bincount(owner, minlength=len(chosen))
+        spare = full - most[chosen] - 1
         extra, extra_owner = [], []
         for i in np.flatnonzero(spare < 0):
             values = sets.values[sets.bounds[chosen[i]] : sets.bounds[chosen[i] + 1]]
@@ -192,30 +195,44 @@ def _sketches(sets: Sets, rule: Similarity) -> Iterator[tuple[bool, np.ndarray,
             extra_owner.append(np.full(len(empty), i))
         if extra:
             signatures, owner = np.concatenate([signatures, *extra]), np.concatenate([owner, *extra_owner])
-        yield own, chosen, spare, signatures, chosen[owner]
+        yield own, chosen, full, spare, signatures, chosen[owner]
 
 
+BITS = [f"bits{i}" for i in range(16)]
+SHAPE = ["band", "spare_own", "spare_below", "lanes_own", "lanes_below"]
 CLASS = T.StructType(
     [T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType()),
-     *[T.StructField(c, T.IntegerType()) for c in ("band", "spare_own", "spare_below")]]
+     *[T.StructField(c, T.IntegerType()) for c in SHAPE],
+     *[T.StructField(c, T.LongType()) for c in BITS]]
 )
 
 
+def _parities(sets: Sets) -> np.ndarray:
+    """A bit sketch of each set: every shingle flips one of its bits."""
+    size = 64 * len(BITS)
+    owner = np.repeat(np.arange(len(sets.sizes)), sets.sizes)
+    spot = owner * size + (mixed(sets.values) % np.uint64(size)).astype(np.int64)
+    flips = np.bincount(spot, minlength=len(sets.sizes) * size).astype(np.uint8) & 1
+    return np.packbits(flips, bitorder="little").view("<i8").reshape(len(sets.sizes), len(BITS))
+
+
 def _described(rule: Similarity):
     @F.arrow_udf(CLASS)
     def described(texts: pa.Array) -> pa.Array:
         out = [[] for _ in CLASS.names]
         for piece in pieces(texts):
             sets = shingle_sets(piece, rule.width)
-            spares = {}
-            for own, chosen, spare, _, _ in _sketches(sets, rule):
-                spares[own] = np.zeros(len(piece), np.int32)
-                spares[own][chosen] = spare
+            spares, filled = {}, {}
+            for own, chosen, full, spare, _, _ in _sketches(sets, rule):
+                spares[own], filled[own] = np.zeros((2, len(piece)), np.int32)
+                spares[own][chosen], filled[own][chosen] = spare, full
             band = np.searchsorted(bands(rule)[0], sets.sizes, "right") - 1
             names = pa.array(sets.classes(), pa.int64(), mask=sets.sizes == 0)
-            for column, part in zip(out, (sets.sizes, names, band, spares[True], spares[False])):
+            bits = _parities(sets)
+            shape = (band, spares[True], spares[False], filled[True], filled[False])
+            for column, part in zip(out, (sets.sizes, names, *shape, *bits.T)):
                 column.append(pa.array(part))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * len(SHAPE), *[pa.int64()] * len(BITS)]
         columns = [
             pa.concat_arrays([c.cast(kind) for c in parts]) if parts else pa.array([], kind)
             for parts, kind in zip(out, kinds)
@@ -239,7 +256,7 @@ def _signatures(texts: DataFrame, rule: Similarity) -> DataFrame:
                     if name not in seen:
                         seen.add(name)
                         new[i] = True
-                for _, _, _, signatures, owner in _sketches(sets, rule):
+                for *_, signatures, owner in _sketches(sets, rule):
                     own = new[owner]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(signatures[own].view(np.int64)), pa.array(names[owner[own]])], ["sig", "class"]
@@ -273,30 +290,66 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, told = rows[-1:], last_told
 
 
-def _members(signatures: DataFrame, classes: DataFrame, rule: Similarity) -> DataFrame:
-    """Rows (sig, class, size) of the lanes to compare; frequent lanes only where a set needs them."""
-    shared = staged(
-        signatures.repartition("sig").sortWithinPartitions("sig", "class").mapInArrow(_shared, "sig long, class long"),
-        "jaccard_shared",
-    )
-    sizes = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
-    sized = staged(shared.join(sizes, "sig"), "jaccard_lanes")
-    common = sized.where(F.col("size") > rule.frequent).join(classes.select("class", "band", "spare_own", "spare_below"), "class")
-    odd = F.col("sig").bitwiseAND(F.lit(1)) == F.col("band").bitwiseAND(F.lit(1))
-    common = common.select("sig", "class", "size", odd.alias("own"), F.when(odd, F.col("spare_own")).otherwise(F.col("spare_below")).alias("spare"))
-    # Bounded by the lanes of one set.
-    per_set = Window.partitionBy("class", "own")
-    needed = (
-        common.withColumn("place", F.row_number().over(per_set.orderBy("size", "sig")))
-        .withColumn("all", F.count(F.lit(1)).over(per_set))
-        .where(F.col("place") <= F.col("all") - F.col("spare"))
+@dataclass
+class Lanes:
+    """The lanes that two classes or more have."""
+
+    few: DataFrame  # (sig, class) of ordinary lanes
+    many: DataFrame  # (sig, class) of frequent lanes, for the sets that need them
+    crowded: DataFrame  # (class, own, n_frequent): how many lanes of a set are frequent
+
+
+def _lanes_to_join(signatures: DataFrame, classes: DataFrame, rule: Similarity) -> Lanes:
+    shared = signatures.repartition("sig").sortWithinPartitions("sig", "class").mapInArrow(_shared, "sig long, class long")
+    shared = staged(shared, "jaccard_shared")
+    sizes = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > rule.frequent)
+    sizes = staged(sizes, "jaccard_frequent")
+    common = shared.join(sizes, "sig").join(classes.select("class", "band", "spare_own", "spare_below"), "class")
+    own = F.col("sig").bitwiseAND(F.lit(1)) == F.col("band").bitwiseAND(F.lit(1))
+    spare = F.when(own, F.col("spare_own")).otherwise(F.col("spare_below"))
+    per_set = Window.partitionBy("class", "own")  # bounded by the lanes of one set
+    placed = (
+        common.select("sig", "class", "size", own.alias("own"), spare.alias("spare"))
+        .withColumn("place", F.row_number().over(per_set.orderBy("size", "sig")))
+        .withColumn("n_frequent", F.count(F.lit(1)).over(per_set))
     )
-    return staged(
-        sized.where(F.col("size") <= rule.frequent).unionByName(needed.select("sig", "class", "size")), "jaccard_members"
+    placed = staged(placed, "jaccard_common")
+    return Lanes(
+        shared.join(sizes.select("sig"), "sig", "left_anti"),
+        placed.where(F.col("place") <= F.col("n_frequent") - F.col("spare")).select("sig", "class"),
+        placed.where("place = 1").select("class", "own", "n_frequent"),
     )
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, text: str, row, rule: Similarity) -> DataFrame:
+def _plausible(pairs: DataFrame, classes: DataFrame, crowded: DataFrame, rule: Similarity) -> DataFrame:
+    """Pairs (x, y, n_shared) whose sizes, lanes and bit sketches allow the similarity.
+
+    Of the lanes of either set at most the difference may lack in the other one;
+    those not seen to be shared are frequent.
+    """
+
+    def side(name: str) -> DataFrame:
+        marks = crowded.groupBy("class").agg(
+            *[F.max(F.when(F.col("own") == flag, F.col("n_frequent"))).alias(f"frequent_{w}") for flag, w in ((True, "own"), (False, "below"))]
+        )
+        known = classes.select("class", "n_shingles", *SHAPE, *BITS).join(marks, "class", "left")
+        return known.select(F.col("class").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in known.columns if c != "class"])
+
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    a, b = F.col("x_n_shingles"), F.col("y_n_shingles")
+    difference = F.floor((100 - rule.percent) * (a + b) / (100 + rule.percent))
+    flips = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in BITS), F.lit(0))
+    near = (flips <= difference) & (100 * F.least(a, b) >= rule.percent * F.greatest(a, b))
+    band = F.least("x_band", "y_band")
+    for name in ("x", "y"):
+        own = F.col(f"{name}_band") == band
+        lanes = F.when(own, F.col(f"{name}_lanes_own")).otherwise(F.col(f"{name}_lanes_below"))
+        frequent = F.when(own, F.col(f"{name}_frequent_own")).otherwise(F.col(f"{name}_frequent_below"))
+        near = near & (F.col("n_shared") + F.coalesce(frequent, F.lit(0)) >= lanes - difference)
+    return both.where(near).select("x", "y")
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, text: str, row: Column, rule: Similarity) -> DataFrame:
     """Of the pairs of classes (x, y), those whose whole sets reach the similarity."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct()
     keys = staged(wanted.join(classes, "class").select("class", F.col("row").alias("key")), "jaccard_wanted")
@@ -322,27 +375,29 @@ def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, text:
     return staged(both.where(100 * F.col("common").cast("long") >= rule.percent * union).select("x", "y"), "jaccard_links")
 
 
-def _candidates(members: DataFrame, rule: Similarity) -> DataFrame:
-    """Pairs of every ordinary lane, and of frequent ones each set with the smallest."""
-    few = members.where(F.col("size") <= rule.frequent)
-    left = few.select("sig", F.col("class").alias("x"))
-    pairs = left.join(few.select("sig", F.col("class").alias("y")), "sig").where("x < y").select("x", "y")
-    many = members.where(F.col("size") > rule.frequent)
-    hubs = many.groupBy("sig").agg(F.min("class").alias("x"))
-    spokes = many.join(hubs, "sig").where("class != x").select("x", F.col("class").alias("y"))
-    return staged(pairs.union(spokes).distinct(), "jaccard_pairs")
+def _candidates(lanes: Lanes) -> DataFrame:
+    """(x, y, n_shared): pairs with the ordinary lanes they share, and in frequent lanes each set with the smallest."""
+    left = lanes.few.select("sig", F.col("class").alias("x"))
+    pairs = left.join(lanes.few.select("sig", F.col("class").alias("y")), "sig").where("x < y")
+    pairs = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_shared"))
+    hubs = lanes.many.groupBy("sig").agg(F.min("class").alias("x"))
+    spokes = lanes.many.join(hubs, "sig").where("class != x").select("x", F.col("class").alias("y")).distinct()
+    return pairs.unionByName(spokes.withColumn("n_shared", F.lit(0).cast("long"))).groupBy("x", "y").agg(F.sum("n_shared").alias("n_shared"))
 
 
-def _remaining(members: DataFrame, labels: DataFrame, tested: DataFrame, rule: Similarity) -> DataFrame:
-    """Untested pairs of frequent lanes whose sets lie in different components."""
-    many = members.where(F.col("size") > rule.frequent).join(labels, F.col("class") == F.col("node"), "left")
+def _remaining(lanes: Lanes, labels: DataFrame) -> DataFrame:
+    """(x, y, n_shared): pairs of frequent lanes whose sets lie in different components, not with the smallest."""
+    many = lanes.many.join(labels, F.col("class") == F.col("node"), "left")
     many = many.select("sig", "class", F.coalesce("component", "class").alias("component"))
-    split = many.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    many = staged(many.join(split.select("sig"), "sig"), "jaccard_split")
+    split = many.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("class").alias("hub"))
+    many = staged(many.join(split.where("low < high").select("sig", "hub"), "sig").where("class != hub"), "jaccard_split")
     left = many.select("sig", F.col("class").alias("x"), F.col("component").alias("cx"))
     right = many.select("sig", F.col("class").alias("y"), F.col("component").alias("cy"))
     pairs = left.join(right, "sig").where("x < y AND cx != cy").select("x", "y").distinct()
-    return staged(pairs.join(tested, ["x", "y"], "left_anti"), "jaccard_pairs")
+    few = lanes.few.join(many.select("class").distinct(), "class", "left_semi")
+    shared = few.select("sig", F.col("class").alias("x")).join(few.select("sig", F.col("class").alias("y")), "sig").where("x < y")
+    shared = shared.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_shared"))
+    return pairs.join(shared, ["x", "y"], "left").select("x", "y", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
 
 
 def _row(doc_id: str, text: str) -> Column:
@@ -359,23 +414,20 @@ def near_duplicates(
     for a text without words.
     """
     row = _row(doc_id, text)
-    described = staged(
-        documents.select(F.col(doc_id).alias("doc"), row.alias("row"), _described(rule)(F.col(text)).alias("set")).select(
-            "doc", "row", "set.*"
-        ),
-        "jaccard_documents",
-    )
+    described = documents.select(F.col(doc_id).alias("doc"), row.alias("row"), _described(rule)(F.col(text)).alias("set"))
+    described = staged(described.select("doc", "row", "set.*"), "jaccard_documents")
     classes = staged(
         described.where("class IS NOT NULL")
         .groupBy("class")
-        .agg(*[F.min(c).alias(c) for c in ("doc", "row", "band", "spare_own", "spare_below")]),
+        .agg(*[F.min(c).alias(c) for c in ("doc", "row", "n_shingles", *SHAPE, *BITS)]),
         "jaccard_classes",
     )
-    members = _members(_signatures(documents.select(text), rule), classes, rule)
-    pairs = _candidates(members, rule)
+    lanes = _lanes_to_join(_signatures(documents.select(text), rule), classes, rule)
+    pairs = staged(_plausible(_candidates(lanes), classes, lanes.crowded, rule), "jaccard_pairs")
     links = _verified(pairs, documents, classes, text, row, rule)
     labels = components(links)
-    rest = _remaining(members, labels, pairs, rule)
+    rest = _plausible(_remaining(lanes, labels), classes, lanes.crowded, rule).join(pairs, ["x", "y"], "left_anti")
+    rest = staged(rest, "jaccard_pairs")
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, documents, classes, text, row, rule))
         labels = components(links)
