@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cartledger.llm.native import ascii_lower, unused, words
+from cartledger.llm.native import lower_words, unused
 from cartledger.llm.session import staged
 
 
@@ -50,7 +50,7 @@ def _row(row_id: str, text: str) -> Column:
 
 
 def _worded(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    return df.select(F.col(row_id).alias("id"), _row(row_id, text).alias("row"), words(ascii_lower(F.col(text))).alias("w"))
+    return df.select(F.col(row_id).alias("id"), _row(row_id, text).alias("row"), lower_words(F.col(text)).alias("w"))
 
 
 def _windows(worded: DataFrame, width: int, value: Column) -> DataFrame:

@@ -1,8 +1,10 @@
 """Licence scan: Dice coefficient over word bigrams.
 
-A document is looked at in units: every line, every paragraph of several lines,
-and, if it has several paragraphs, the whole of it.  A unit's words are its runs
-of letters and digits, A-Z lowered; it matches a template if the Dice
+A document is looked at in units: every line, every paragraph of several lines
+(a line without words ends a paragraph), and, if it has several paragraphs, the
+whole of it.  A unit's words are what stands
+between punctuation and blanks (all ASCII but letters and digits, U+0080 to
+U+00BF, and the blocks of general and CJK punctuation), A-Z lowered; it matches a template if the Dice
 coefficient of their sets of word bigrams reaches ``percent``.
 
 Sets of a and b bigrams have a coefficient of at most 2 * min(a, b) / (a + b), so a
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 from cartledger.llm.native import ascii_lower
 from cartledger.llm.session import staged
 
-WORD_GAP = "[^\\p{L}\\p{N}]+"
+WORD_GAP = "[\\x00-\\x09\\x0B-/:-@\\[-`{-\\x{BF}\\x{2000}-\\x{206F}\\x{3000}-\\x{303F}]+"
 MANY = 2**31 - 1
-PARAGRAPH_GAP = "\n[ \\t\\r]*\n"
+PARAGRAPH_GAP = "\n(?: *\n)+"
 
 # The wording of common licence notices.
 NOTICES = [
@@ -92,15 +94,14 @@ def notices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(NOTICES, "license_id string, text string")
 
 
-def _spread(df: DataFrame, text: str, least: int, most: int) -> DataFrame:
-    """One row (gram, n) per distinct word bigram of each text whose number n of them lies within the bounds.
+def _spread(worded: DataFrame, least: int, most: int) -> DataFrame:
+    """One row (gram, n) per distinct word bigram (as a 64-bit hash) of each ``w`` whose number n of them lies within the bounds.
 
     Words and bigrams are steps of their own and no filter stands on them, so
-    each is computed once; texts out of bounds spread nothing.
+    each is computed once; units out of bounds spread nothing.
     """
-    worded = df.withColumn("w", F.filter(F.split(ascii_lower(F.col(text)), WORD_GAP), lambda w: w != "")).drop(text)
     left = F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))
-    pairs = F.zip_with(left, F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    pairs = F.zip_with(left, F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
     found = worded.withColumn("grams", F.array_distinct(pairs)).drop("w")
     n = F.size("grams")
     return found.select(
@@ -108,14 +109,29 @@ def _spread(df: DataFrame, text: str, least: int, most: int) -> DataFrame:
     )
 
 
+def _plain(text: Column) -> Column:
+    """Gaps as single blanks, line breaks kept; the pattern runs once over the whole text."""
+    return F.regexp_replace(text, WORD_GAP, " ")
+
+
+def _words(plain: Column) -> Column:
+    return F.transform(F.filter(F.split(F.replace(plain, F.lit("\n"), F.lit(" ")), " "), lambda w: w != ""), ascii_lower)
+
+
 def _units(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, row, unit): lines, paragraphs of several lines, whole texts of several paragraphs."""
-    found = documents.select(
-        F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text")
-    ).where("text IS NOT NULL")
-    blocks = F.filter(F.split("text", PARAGRAPH_GAP), lambda p: F.contains(p, F.lit("\n")))
-    whole = F.when(F.col("text").rlike(PARAGRAPH_GAP), F.array("text")).otherwise(F.array().cast("array<string>"))
-    return found.select("doc_id", "row", F.posexplode(F.concat(F.split("text", "\n"), blocks, whole)).alias("no", "unit"))
+    """(doc_id, row, no, w): words of the lines, the paragraphs of several lines, the text of several paragraphs."""
+    found = documents.where(F.col(text).isNotNull()).select(
+        F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("row"), _plain(F.col(text)).alias("plain")
+    )
+    lines, newline = F.split("plain", "\n"), F.lit("\n")
+    blocks = F.filter(F.split("plain", PARAGRAPH_GAP), lambda p: F.contains(p, newline))
+    units = (
+        F.when(~F.contains("plain", newline), F.array("plain"))
+        .when(F.col("plain").rlike(PARAGRAPH_GAP), F.concat(lines, blocks, F.array("plain")))
+        .otherwise(F.concat(lines, F.array("plain")))
+    )
+    listed = found.select("doc_id", "row", F.posexplode(units).alias("no", "unit"))
+    return listed.select("doc_id", "row", "no", _words(F.col("unit")).alias("w"))
 
 
 def scan(
@@ -124,7 +140,7 @@ def scan(
     """(doc_id, license_id, dice, n_units): the best coefficient of each licence and the units that match it."""
     p = dice.percent
     known = templates.select("license_id", F.xxhash64("license_id", "text").alias("template"), "text").distinct()
-    known = _spread(known, "text", 1, MANY).select(
+    known = _spread(known.select("license_id", "template", _words(_plain(F.col("text"))).alias("w")), 1, MANY).select(
         "license_id",
         "template",
         F.col("n").alias("size"),
@@ -134,7 +150,7 @@ def scan(
     )
     known = staged(known, "license_templates")
     bounds = known.agg(F.min("least"), F.max("most")).first()
-    spread = _spread(_units(documents, doc_id, text), "unit", bounds[0] or 1, bounds[1] or 0)
+    spread = _spread(_units(documents, doc_id, text), bounds[0] or 1, bounds[1] or 0)
     held = spread.join(known, "gram").where("n BETWEEN least AND most")
     # Equal rows share id, hash and unit number: distinct bigrams are counted.
     held = held.select("doc_id", "row", "no", "n", "license_id", "template", "size", "gram").distinct()

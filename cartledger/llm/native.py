@@ -12,23 +12,22 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z lowered, all else as it is; plain ASCII takes the quick built-in."""
-    plain = F.octet_length(text) == F.char_length(text)
-    return F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    """A-Z lowered, all else as it is.
+
+    Plain ASCII takes the quick built-in, and a text without capitals is itself;
+    only what is left goes through the slow translation.
+    """
+    plain, lower = F.octet_length(text) == F.char_length(text), F.lower(text)
+    return F.when(plain, lower).when(lower == text, text).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
 def stripped(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
-def words(text: Column) -> Column:
-    """The words of a text; a null or blank text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_PATTERN), lambda w: w != "")
-
-
-def shingles(array: Column, width: int, start: Column) -> Column:
-    """Text of the window of ``width`` words that begins at ``start`` (1-based)."""
-    return F.array_join(F.slice(array, start, F.lit(width)), " ")
+def lower_words(text: Column, gap: str = SPACE_PATTERN) -> Column:
+    """The words between gaps, A-Z lowered word by word; a null or blank text has none."""
+    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), gap), lambda w: w != ""), ascii_lower)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartledger.llm.licenses import NOTICES, Dice
+from cartledger.llm.licenses import NOTICES, WORD_GAP, Dice
 from cartledger.llm.quality import BOILERPLATE, Rules
 
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -61,7 +61,7 @@ FROM (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max
 def license_scan(dice: Dice = Dice()) -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in NOTICES)
-    words = f"list_filter(string_split_regex({_LOWER.format('u')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    words = f"list_filter(string_split_regex({_LOWER.format('u')}, '{WORD_GAP}|\\n'), lambda x: x <> '')"
     pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return rf"""
 WITH known AS (
@@ -69,14 +69,11 @@ WITH known AS (
   FROM (SELECT license_id, no, {pairs} AS g FROM (
     SELECT license_id, row_number() OVER () AS no, {words} AS w FROM (VALUES {values}) v(license_id, u)))
 ),
-cut AS (
-  SELECT doc_id, text, string_split_regex(text, '
-[ 	]*
-') AS blocks FROM documents WHERE text IS NOT NULL
-),
+plain AS (SELECT doc_id, regexp_replace(text, '{WORD_GAP}', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL),
+cut AS (SELECT doc_id, t, string_split_regex(t, '\n(?: *\n)+') AS blocks FROM plain),
 listed AS (
-  SELECT doc_id, string_split(text, chr(10)) || list_filter(blocks, lambda b: contains(b, chr(10)))
-    || CASE WHEN len(blocks) > 1 THEN [text] ELSE [] END AS us
+  SELECT doc_id, string_split(t, chr(10)) || list_filter(blocks, lambda b: contains(b, chr(10)))
+    || CASE WHEN len(blocks) > 1 THEN [t] ELSE [] END AS us
   FROM cut
 ),
 units AS (SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) AS unit FROM listed),
