@@ -265,6 +265,11 @@ class Encoder:
 
     def encode(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the bounds of each."""
+        ids, bounds, _ = self.encode_sized(piece)
+        return ids, bounds
+
+    def encode_sized(self, piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, the bounds of each, and how many ids each chunk has."""
         split = [piece.text(i).split() for i in range(len(piece))]
         chunks = [c for own in split for c in own]
         if len(self.codes) > CACHED_CHUNKS:
@@ -276,14 +281,14 @@ class Encoder:
             self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
         counts = np.cumsum([0, *map(len, split)])
         if not chunks:
-            return np.zeros(0, np.uint32), counts
+            return np.zeros(0, np.uint32), counts, np.zeros(0, np.int64)
         codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
         flat, sizes = self.flat[0], self.sizes[0]
         firsts = np.cumsum(sizes) - sizes
         own = sizes[codes]
         ends = np.cumsum(own)
         ids = flat[np.arange(int(ends[-1])) + np.repeat(firsts[codes] - (ends - own), own)]
-        return ids, np.concatenate([[0], ends])[counts]
+        return ids, np.concatenate([[0], ends])[counts], own
 
 
 @lru_cache(maxsize=2)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cartledger.llm import bpe, chat, decontaminate, jaccard, langid, licenses, lines, quality, sql, token_counts
+from cartledger.llm import bpe, chat, decontaminate, jaccard, langid, licenses, lines, lm, quality, sql, token_counts
 from cartledger.llm.session import table
 from cartledger.staging import StageArea
 
@@ -30,6 +30,12 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(langid.remainder("doc_id", 5) == 1, F.lit(False))
+    return lm.score(documents, held_out, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     files = StageArea.of(spark).path("token_files")
@@ -94,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_bpe": op2_bpe,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_token_counts": op4_token_counts,
         "op5_language_id": op5_language_id,
         "op6_quality_rules": op6_quality_rules,
