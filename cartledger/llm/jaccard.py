@@ -338,8 +338,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, crowded: DataFrame, rule: S
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     a, b = F.col("x_n_shingles"), F.col("y_n_shingles")
     difference = F.floor((100 - rule.percent) * (a + b) / (100 + rule.percent))
-    flips = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in BITS), F.lit(0))
-    near = (flips <= difference) & (100 * F.least(a, b) >= rule.percent * F.greatest(a, b))
+    near = _close("x", "y", rule)
     band = F.least("x_band", "y_band")
     for name in ("x", "y"):
         own = F.col(f"{name}_band") == band
@@ -385,15 +384,33 @@ def _candidates(lanes: Lanes) -> DataFrame:
     return pairs.unionByName(spokes.withColumn("n_shared", F.lit(0).cast("long"))).groupBy("x", "y").agg(F.sum("n_shared").alias("n_shared"))
 
 
-def _remaining(lanes: Lanes, labels: DataFrame) -> DataFrame:
-    """(x, y, n_shared): pairs of frequent lanes whose sets lie in different components, not with the smallest."""
+def _close(x: str, y: str, rule: Similarity) -> Column:
+    """Whether sizes and bit sketches of two rows allow the similarity."""
+    a, b = F.col(f"{x}_n_shingles"), F.col(f"{y}_n_shingles")
+    flips = sum((F.bit_count(F.col(f"{x}_{c}").bitwiseXOR(F.col(f"{y}_{c}"))) for c in BITS), F.lit(0))
+    return (flips <= F.floor((100 - rule.percent) * (a + b) / (100 + rule.percent))) & (
+        100 * F.least(a, b) >= rule.percent * F.greatest(a, b)
+    )
+
+
+def _remaining(lanes: Lanes, labels: DataFrame, classes: DataFrame, rule: Similarity) -> DataFrame:
+    """(x, y, n_shared): pairs of frequent lanes whose sets lie in different components, not with the smallest.
+
+    Sketches are compared inside the join, so only plausible pairs come out of it.
+    """
     many = lanes.many.join(labels, F.col("class") == F.col("node"), "left")
     many = many.select("sig", "class", F.coalesce("component", "class").alias("component"))
     split = many.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("class").alias("hub"))
     many = staged(many.join(split.where("low < high").select("sig", "hub"), "sig").where("class != hub"), "jaccard_split")
-    left = many.select("sig", F.col("class").alias("x"), F.col("component").alias("cx"))
-    right = many.select("sig", F.col("class").alias("y"), F.col("component").alias("cy"))
-    pairs = left.join(right, "sig").where("x < y AND cx != cy").select("x", "y").distinct()
+    sketched = many.join(classes.select("class", "n_shingles", *BITS), "class")
+
+    def side(name: str) -> DataFrame:
+        own = [F.col(c).alias(f"{name}_{c}") for c in ("component", "n_shingles", *BITS)]
+        return sketched.select("sig", F.col("class").alias(name), *own)
+
+    x, y = side("x").alias("l"), side("y").alias("r")
+    apart = (F.col("l.sig") == F.col("r.sig")) & (F.col("x") < F.col("y")) & (F.col("x_component") != F.col("y_component"))
+    pairs = x.join(y, apart & _close("x", "y", rule)).select("x", "y").distinct()
     few = lanes.few.join(many.select("class").distinct(), "class", "left_semi")
     shared = few.select("sig", F.col("class").alias("x")).join(few.select("sig", F.col("class").alias("y")), "sig").where("x < y")
     shared = shared.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_shared"))
@@ -426,7 +443,7 @@ def near_duplicates(
     pairs = staged(_plausible(_candidates(lanes), classes, lanes.crowded, rule), "jaccard_pairs")
     links = _verified(pairs, documents, classes, text, row, rule)
     labels = components(links)
-    rest = _plausible(_remaining(lanes, labels), classes, lanes.crowded, rule).join(pairs, ["x", "y"], "left_anti")
+    rest = _plausible(_remaining(lanes, labels, classes, rule), classes, lanes.crowded, rule).join(pairs, ["x", "y"], "left_anti")
     rest = staged(rest, "jaccard_pairs")
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, documents, classes, text, row, rule))
