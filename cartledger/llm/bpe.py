@@ -42,7 +42,7 @@ from cartledger.llm.pieces import Piece, pieces
 
 NEVER = np.iinfo(np.int32).max
 SHORT_WORD = 64
-CACHED_CHUNKS = 1_000_000  # per worker; the cache starts again beyond that
+CACHED_CHUNKS = 300_000  # per worker; the cache starts again beyond that
 # How the vocabulary's format splits plain ASCII, and its end-of-word mark.
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
@@ -226,8 +226,9 @@ class Vocabulary:
         """Bytes of the tokens' names joined by blanks, and their bounds."""
         sizes = self.name_sizes[ids]
         ends = np.cumsum(sizes)
-        shift = np.repeat((self.name_ends - self.name_sizes)[ids] - (ends - sizes), sizes)
-        data = self.name_data[np.arange(len(shift)) + shift]
+        at = np.repeat(((self.name_ends - self.name_sizes)[ids] - (ends - sizes)).astype(np.int32), sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        data = self.name_data[at]
         total = np.concatenate([[0], ends])
         keep = np.ones(len(data), bool)
         last = total[bounds[1:][np.diff(bounds) > 0]] - 1
