@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 BLOCK_BYTES = 1 << 20
-DOCUMENTS_PER_FILE = 20_000
+DOCUMENTS_PER_FILE = 4_000
 LONG_RUN = 2_000  # characters without white space that are handed to the tokenizer at once
 
 
