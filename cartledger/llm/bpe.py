@@ -42,7 +42,7 @@ from cartledger.llm.pieces import Piece, pieces
 
 NEVER = np.iinfo(np.int32).max
 SHORT_WORD = 64
-CACHED_CHUNKS = 300_000  # per worker; the cache starts again beyond that
+CACHED_CHUNKS = 200_000  # per worker; the cache starts again beyond that
 # How the vocabulary's format splits plain ASCII, and its end-of-word mark.
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 _WIDE_WORD = 256  # longer words are hashed one at a time
 
 # The white space of all contracts (blank and U+0009 to U+000D).
