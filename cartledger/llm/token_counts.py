@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,6 @@ from pyspark.sql.window import Window
 
 BLOCK_BYTES = 1 << 20
 DOCUMENTS_PER_FILE = 4_000
-LONG_RUN = 2_000  # characters without white space that are handed to the tokenizer at once
 
 
 @lru_cache(maxsize=2)
@@ -43,11 +43,12 @@ def _tokenizer(ranks: bytes, pattern: str):
 
 
 def _tokens(encoding, text: str) -> np.ndarray:
-    if len(text) > LONG_RUN and max(map(len, text.split(" "))) > LONG_RUN:
-        # Runs without blanks take time that grows with the square of their length.
-        parts = [text[i : i + LONG_RUN] for i in range(0, len(text), LONG_RUN)]
-        return np.concatenate([encoding.encode_to_numpy(p) for p in parts])
-    return encoding.encode_to_numpy(text)
+    """Ids of the whole text, however long its runs are."""
+    try:
+        return encoding.encode_to_numpy(text)
+    except ValueError:  # the library's matcher has no room for about a million blanks in a row
+        found = regex.finditer(encoding._pat_str, text)
+        return np.array([token for piece in found for token in encoding._encode_single_piece(piece.group())], np.uint32)
 
 
 def write_token_files(

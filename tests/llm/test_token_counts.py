@@ -65,3 +65,30 @@ def test_no_documents_and_broken_files(spark, tmp_path):
     (tmp_path / "odd.bin").write_bytes(b"123")
     with pytest.raises(Exception, match="no whole number of tokens"):
         scanned(spark, str(tmp_path))
+
+
+def test_ids_are_those_of_the_whole_text_whatever_its_shape(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(1, 12)))
+    words = [word() for _ in range(20_000)]
+    mixed = "".join(rng.choices("abcXYZ0189", k=3_000))
+    texts = [" ".join([*words[:10_000], "http://x.org/" + "".join(rng.choices("abc/0189-", k=2_004)), *words[10_000:]])]
+    texts += [" ".join([*words[:3_000], mixed, *words[3_000:6_000]]), "\n".join(words[:4_000]), mixed * 20, "漢字かな" * 2_000]
+    encoding = token_counts._tokenizer(open(PATH, "rb").read(), public_tokenizers.PATTERN)
+    want = [len(encoding.encode(t)) for t in texts]
+    where = folder(spark)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    token_counts.write_token_files(frame, where, PATH, public_tokenizers.PATTERN, END)
+    assert [r[2] for r in scanned(spark, where)] == want
+
+
+def test_runs_of_blanks_beyond_the_matcher_are_split_as_it_does():
+    encoding = token_counts._tokenizer(open(PATH, "rb").read(), public_tokenizers.PATTERN)
+    blanks = " " * 1_200_000
+    want = [*encoding.encode("one, two's\r\nx"), *encoding._encode_single_piece(blanks[1:]), *encoding.encode(" a\x1c\x85b")]
+    assert token_counts._tokens(encoding, f"one, two's\r\nx{blanks}a\x1c\x85b").tolist() == want
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choices("ab1é漢 \t\n\r\x0b\x1c\x1f\x85\xa0 ​　'stll.!٣Ⅷ²", k=40))
+        split = [m.group() for m in token_counts.regex.finditer(public_tokenizers.PATTERN, text)]
+        assert [t for p in split for t in encoding._encode_single_piece(p)] == encoding.encode(text)
