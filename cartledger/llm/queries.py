@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cartledger.llm import bpe, chat, decontaminate, jaccard, langid, licenses, lines, lm, quality, sql, token_counts
+from cartledger.llm import bpe, chat, codes, decontaminate, jaccard, langid, licenses, lines, lm, quality, sql, token_counts
 from cartledger.llm.session import table
 from cartledger.staging import StageArea
 
@@ -96,6 +96,17 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(documents).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    found = codes.compress(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+    return found.rows.select(
+        "vec_id",
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(codes.digest(found.books)).alias("codebooks_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -108,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_line_dedup": op9_line_dedup,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op11_vector_codes": op11_vector_codes,
         "pipeline": corpus_pipeline.run,
     }
 

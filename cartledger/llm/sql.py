@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cartledger.llm.codes import Coding
 from cartledger.llm.licenses import NOTICES, WORD_GAP, Dice
 from cartledger.llm.quality import BOILERPLATE, Rules
 
@@ -164,6 +165,59 @@ JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r US
 """
 
 
+def vector_codes(coding: Coding = Coding()) -> str:
+    """Every entry against every part, round by round."""
+    n, entries, rounds = coding.parts, coding.entries, coding.rounds
+    steps = [
+        f"""
+kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v,
+    row_number() OVER (ORDER BY vec_id) AS no
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS MATERIALIZED (
+  SELECT vec_id, label, no, p, v[p * (len(v) // {n}) + 1 : (p + 1) * (len(v) // {n})] AS x
+  FROM kept, range({n}) t(p)
+),
+book0 AS MATERIALIZED (SELECT p, no - 1 AS e, x AS c FROM parts WHERE no <= {entries})"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""
+near{i} AS MATERIALIZED (
+  SELECT vec_id, label, no, p, any_value(x) AS x, min(struct_pack(d := d, e := e)) AS best
+  FROM (
+    SELECT vec_id, label, no, parts.p AS p, x, e,
+      list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts JOIN book{i} b ON parts.p = b.p)
+  GROUP BY vec_id, label, no, p
+)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""
+mean{i} AS (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY at_) AS c
+  FROM (SELECT p, best.e AS e, at_, sum(value)::HUGEINT AS s, count(*) AS n
+    FROM (SELECT p, best, unnest(x) AS value, generate_subscripts(x, 1) AS at_ FROM near{i}) GROUP BY p, best.e, at_)
+  GROUP BY p, e
+),
+book{i + 1} AS MATERIALIZED (
+  SELECT b.p AS p, b.e AS e, coalesce(m.c::BIGINT[], b.c) AS c FROM book{i} b LEFT JOIN mean{i} m ON m.p = b.p AND m.e = b.e
+)"""
+            )
+    return f"""
+WITH {",".join(steps)},
+coded AS (
+  SELECT vec_id, label, no, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error
+  FROM near{rounds} GROUP BY vec_id, label, no
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM coded
+"""
+
+
 def texts() -> dict[str, str]:
     return {
         "op1_decontaminate": DECONTAMINATE,
@@ -172,4 +226,5 @@ def texts() -> dict[str, str]:
         "op8_chat_format": CHAT_FORMAT,
         "op9_line_dedup": LINE_DEDUP,
         "op10_ngram_jaccard": NGRAM_JACCARD,
+        "op11_vector_codes": vector_codes(),
     }
