@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cartledger.llm import bpe, chat, codes, decontaminate, jaccard, langid, licenses, lines, lm, quality, sql, token_counts
+from cartledger.llm import bpe, chat, codes, decontaminate, jaccard, langid, licenses, lines, lm, merkle, quality, sql, token_counts
+from cartledger.llm.native import ascii_lower
 from cartledger.llm.session import table
 from cartledger.staging import StageArea
 
@@ -107,6 +108,20 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = merkle.manifest(table(spark, folder, "documents"), tampered, {"text": ascii_lower(F.col("text"))})
+    return found.leaves.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        F.lit(found.root).alias("root"),
+        "proof_sha256",
+        "folded_root",
+        (F.col("folded_root") == F.lit(found.root)).alias("verified"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -120,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_ngram_jaccard": op10_ngram_jaccard,
         "op11_vector_codes": op11_vector_codes,
+        "op12_merkle_manifest": op12_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -218,6 +218,66 @@ FROM coded
 """
 
 
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+# The decimal id's CRC-32, a bit at a time: each byte goes in, then eight shifts.
+_CRC32 = """xor(4294967295, list_reduce(
+    [4294967295] || flatten(list_transform(string_split({0}::VARCHAR, ''), lambda c: [ord(c)::BIGINT] || [-1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda crc, b: CASE WHEN b >= 0 THEN xor(crc, b) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END))"""
+
+
+def merkle_manifest() -> str:
+    """All levels of the sources' trees, then of the tree over them, then each leaf's way up."""
+    proof = "array_to_string(run[:(r.pos % 16)::INT], '') || array_to_string(run[(r.pos % 16 + 2)::INT:], '')"
+    fold = "sha256(array_to_string(run[:(r.pos % 16)::INT], '') || r.folded || array_to_string(run[(r.pos % 16 + 2)::INT:], ''))"
+
+    def tree(name: str, start: str) -> str:
+        return f"""
+{name}(tree, level, pos, n, digest) AS (
+  {start}
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 16, n
+),
+{name}_runs AS MATERIALIZED (SELECT tree, level, pos // 16 AS parent, list(digest ORDER BY pos) AS run FROM {name} WHERE n > 1 GROUP BY ALL)"""
+
+    def way(name: str, start: str, nodes: str) -> str:
+        return f"""
+{name}(no, tree, level, pos, proof, folded) AS (
+  {start}
+  UNION ALL
+  SELECT r.no, r.tree, r.level + 1, r.pos // 16, r.proof || {proof}, {fold}
+  FROM {name} r JOIN {nodes}_runs u ON u.tree = r.tree AND u.level = r.level AND u.parent = r.pos // 16
+)"""
+
+    return f"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT doc_id, source, {_leaf('text')} AS leaf,
+    CASE WHEN {_CRC32.format('doc_id')} % 5 = 0 THEN {_leaf(_LOWER.format('text'))} END AS tampered,
+    row_number() OVER (ORDER BY source NULLS FIRST, doc_id) AS no,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n
+  FROM documents
+),
+{tree('lower_nodes', 'SELECT tree, 0::BIGINT, pos, n, leaf FROM leaves')},
+subroots AS MATERIALIZED (SELECT tree, digest FROM lower_nodes WHERE n = 1),
+{tree('upper_nodes', 'SELECT 0::BIGINT, 0::BIGINT, tree, (SELECT count(*) FROM subroots), digest FROM subroots')},
+top AS (SELECT digest AS root FROM upper_nodes WHERE n = 1),
+{way('to_subroot', "SELECT no, tree, 0::BIGINT, pos, '', coalesce(tampered, leaf) FROM leaves", 'lower_nodes')},
+at_subroot AS MATERIALIZED (SELECT no, tree, arg_max(proof, level) AS proof, arg_max(folded, level) AS folded FROM to_subroot GROUP BY no, tree),
+{way('to_root', 'SELECT no, 0::BIGINT, 0::BIGINT, tree, proof, folded FROM at_subroot', 'upper_nodes')},
+at_root AS (SELECT no, arg_max(proof, level) AS proof, arg_max(folded, level) AS folded FROM to_root GROUP BY no)
+SELECT doc_id, leaf, s.digest AS subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM leaves JOIN subroots s USING (tree) JOIN at_root USING (no) CROSS JOIN top
+"""
+
+
 def texts() -> dict[str, str]:
     return {
         "op1_decontaminate": DECONTAMINATE,
@@ -227,4 +287,5 @@ def texts() -> dict[str, str]:
         "op9_line_dedup": LINE_DEDUP,
         "op10_ngram_jaccard": NGRAM_JACCARD,
         "op11_vector_codes": vector_codes(),
+        "op12_merkle_manifest": merkle_manifest(),
     }
