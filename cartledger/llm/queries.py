@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cartledger.llm import bpe, chat, codes, decontaminate, jaccard, langid, licenses, lines, lm, merkle, quality, sql, token_counts
+from cartledger.llm import binary, bpe, chat, codes, decontaminate, jaccard, langid, licenses, lines, lm, merkle, quality, sql, token_counts
 from cartledger.llm.native import ascii_lower
 from cartledger.llm.session import table
 from cartledger.staging import StageArea
@@ -122,6 +122,11 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = binary.near_duplicates(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -136,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_ngram_jaccard": op10_ngram_jaccard,
         "op11_vector_codes": op11_vector_codes,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_embedding_dedup": op13_embedding_dedup,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -278,6 +278,26 @@ FROM leaves JOIN subroots s USING (tree) JOIN at_root USING (no) CROSS JOIN top
 """
 
 
+EMBEDDING_DEDUP = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, y FROM reach r JOIN links ON r.other = x
+),
+named AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+degrees AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM named LEFT JOIN degrees USING (vec_id)
+"""
+
+
 def texts() -> dict[str, str]:
     return {
         "op1_decontaminate": DECONTAMINATE,
@@ -288,4 +308,5 @@ def texts() -> dict[str, str]:
         "op10_ngram_jaccard": NGRAM_JACCARD,
         "op11_vector_codes": vector_codes(),
         "op12_merkle_manifest": merkle_manifest(),
+        "op13_embedding_dedup": EMBEDDING_DEDUP,
     }
