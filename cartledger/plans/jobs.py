@@ -10,16 +10,16 @@ from cartledger.plans import audit
 from cartledger.plans.pipeline import Curated, curate
 from cartledger.schemas import RAW_SCHEMA
 from cartledger.sinks.parquet import write_table
-from cartledger.sources import csv_files, curated
+from cartledger.sources import csv_files, csv_ranges, curated
 from cartledger.streaming import ingest
 from cartledger.warehouse import Warehouse
 
 
-def _raw_csv(w: Warehouse) -> str:
-    """The warehouse's lines as files in the raw layout; returns the folder."""
+def _raw_csv(w: Warehouse, lines: DataFrame | None = None) -> str:
+    """The warehouse's lines (or others) as files in the raw layout; returns the folder."""
     folder = w.stage.path("raw_csv")
     names = ["invoice_no", "stock_code", "description", "quantity", "order_date", "unit_price", "customer_id", "country"]
-    raw = w.lines.select(*[F.col(n).cast(f.dataType).alias(f.name) for n, f in zip(names, RAW_SCHEMA.fields)])
+    raw = (w.lines if lines is None else lines).select(*[F.col(n).cast(f.dataType).alias(f.name) for n, f in zip(names, RAW_SCHEMA.fields)])
     raw.write.options(
         header="true",
         escape='"',
@@ -34,6 +34,12 @@ def raw_csv_scan(w: Warehouse) -> DataFrame:
     return csv_files.read_lines(w.spark, _raw_csv(w))
 
 
+def raw_csv_ranges(w: Warehouse) -> DataFrame:
+    """Files whose descriptions have line breaks and quotes, read range by range."""
+    broken = w.lines.withColumn("description", F.replace("description", F.lit(" "), F.lit('\n"')))
+    return csv_ranges.read_lines(w.spark, _raw_csv(w, broken))
+
+
 def _curate(w: Warehouse) -> Curated:
     return curate(w.lines, w.stage.path("curated"), w.params, w.rules)
 

@@ -13,7 +13,7 @@ from cartledger.operators.quality import Rule
 from cartledger.params import Params
 from cartledger.schemas import TABLES
 from cartledger.sinks.parquet import write_table
-from cartledger.sources import csv_files, curated
+from cartledger.sources import csv_files, csv_ranges, curated
 from cartledger.staging import WRITERS, StageArea
 from cartledger.warehouse import CuratedWarehouse, Warehouse
 
@@ -61,9 +61,13 @@ def curate(
 def curate_csv(
     spark: SparkSession, path: str | list[str], root: str, params: Params = Params(), multi_line: bool = True, **kwargs
 ) -> Curated:
-    """The same from raw CSV files, which are parsed once and staged as Parquet."""
+    """The same from raw CSV files, which are parsed once and staged as Parquet.
+
+    Files are read range by range, also where fields may hold line breaks.
+    """
     stage = StageArea.for_job(spark, "raw")
     try:
-        return curate(stage.table(csv_files.read_lines(spark, path, multi_line), "lines"), root, params, **kwargs)
+        raw = csv_ranges.read_lines(spark, path) if multi_line else csv_files.read_lines(spark, path, multi_line)
+        return curate(stage.table(raw, "lines"), root, params, **kwargs)
     finally:
         stage.release()

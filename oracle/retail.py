@@ -421,6 +421,10 @@ def texts(p: Params = PARAMS, lines: str | None = None) -> dict[str, str]:
     wide_cap = 5000
     return {
         # extracts, cleaning, validation, deduplication
+        "raw_csv_ranges": q(
+            "lines",
+            f"""SELECT {LINE.replace('description', "replace(description, ' ', chr(10) || '\"') AS description")} FROM lines""",
+        ),
         "raw_csv_scan": q("lines", f"SELECT {LINE} FROM lines"),
         "extract_customers": q("lines", "SELECT customer_id, country FROM lines WHERE customer_id IS NOT NULL GROUP BY ALL"),
         "extract_products": q("lines", "SELECT stock_code, description FROM lines WHERE stock_code IS NOT NULL GROUP BY ALL"),
