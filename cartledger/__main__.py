@@ -3,6 +3,9 @@
     etl RAW ROOT [--single-line]     raw CSV to the curated zone
     ingest RAW ZONE STATE            take in newly arrived CSV files, then stop
     rebuild ZONE ROOT                ingested lines to the curated zone
+    merge RAW ROOT                   merge raw CSV files into a published zone, as its next version
+    versions ROOT                    the versions of a published zone
+    vacuum ROOT [--keep N]           delete all but its last N versions and what only they use
     stats ROOT                       row counts and headline figures of a curated zone
     report NAME ROOT [--out FOLDER]  print the head of a report, or write all of it as CSV
 """
@@ -10,15 +13,17 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cartledger.params import Params
-from cartledger.plans import audit, registry
+from cartledger.plans import audit, incremental, registry
 from cartledger.plans.pipeline import Curated, curate, curate_csv
 from cartledger.session import prepare
+from cartledger.sinks.snapshots import Zone, vacuum
+from cartledger.sources import csv_files, csv_ranges
 from cartledger.streaming import ingest
-from cartledger.warehouse import CuratedWarehouse
 
 REPORT_ROWS = 1000  # rows printed
 
@@ -36,6 +41,9 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     command("etl", "raw", "root").add_argument("--single-line", action="store_true", help="no line breaks in fields")
     command("ingest", "raw", "zone", "state")
     command("rebuild", "zone", "root")
+    command("merge", "raw", "root").add_argument("--single-line", action="store_true", help="no line breaks in fields")
+    command("versions", "root")
+    command("vacuum", "root").add_argument("--keep", type=int, default=2)
     command("stats", "root")
     command("report", "name", "root").add_argument("--out", help="folder for the whole report")
     return parser.parse_args(argv)
@@ -63,13 +71,23 @@ def main(argv: list[str] | None = None) -> None:
         ingest.ingest_available(spark, a.raw, a.zone, a.state, params).awaitTermination()
     elif a.command == "rebuild":
         _tell(curate(ingest.ingested_lines(spark, a.zone), a.root, params))
+    elif a.command == "merge":
+        lines = csv_files.read_lines(spark, a.raw, multi_line=False) if a.single_line else csv_ranges.read_lines(spark, a.raw)
+        done = incremental.take_in(spark, a.root, lines, params, raw=a.raw)
+        print(f"version: {done.version}")
+    elif a.command == "versions":
+        zone = Zone(spark, a.root)
+        for version in zone.versions():
+            print(f"{version}: {json.dumps(zone.at(version).info, sort_keys=True)}")
+    elif a.command == "vacuum":
+        print(f"deleted: {len(vacuum(Zone(spark, a.root), a.keep))}")
     elif a.command == "stats":
-        w = CuratedWarehouse(spark, a.root, params)
+        w = incremental.open_zone(spark, a.root, params)
         _show(audit.table_counts(audit.if_present(w.table)))
         for name in ("total_revenue", "total_orders"):
             _show(registry.run(name, w))
     else:
-        found = registry.run(a.name, CuratedWarehouse(spark, a.root, params))
+        found = registry.run(a.name, incremental.open_zone(spark, a.root, params))
         if a.out:
             found.write.mode("overwrite").option("header", "true").csv(a.out)
         else:

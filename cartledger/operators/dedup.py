@@ -35,11 +35,12 @@ def _number(value: int) -> Column:
     return F.lit(str(value)).cast(_PACKED)
 
 
-def _preferred() -> Column:
-    """Smallest (customer, price), customers without a number last."""
+def _preferred(of: Column | None = None) -> Column:
+    """Smallest (customer, price), customers without a number last; of the rows that fulfil a condition, if given."""
     customer = F.coalesce(F.col("customer_id").cast("long"), F.lit(_CUSTOMERS)) + _CUSTOMERS
     price = F.coalesce((F.col("unit_price") * 10_000).cast("long") + _PRICES, F.lit(0))
-    return F.min((customer.cast("decimal(12,0)") * F.lit(str(2 * _PRICES)).cast("decimal(16,0)") + price.cast("decimal(20,0)")).cast(_PACKED))
+    packed = (customer.cast("decimal(12,0)") * F.lit(str(2 * _PRICES)).cast("decimal(16,0)") + price.cast("decimal(20,0)")).cast(_PACKED)
+    return F.min(packed if of is None else F.when(of, packed))
 
 
 def _unpacked(kept: str) -> list[Column]:
@@ -64,6 +65,14 @@ def unique_lines(orders: DataFrame) -> DataFrame:
     )
 
 
+def merged_lines(known: DataFrame, arriving: DataFrame) -> DataFrame:
+    """:func:`unique_lines` of both, with a mark on lines that ``known`` does not have or has with another choice."""
+    both = known.withColumn("known", F.lit(True)).unionByName(arriving.withColumn("known", F.lit(False)))
+    merged = both.groupBy(*IDENTITY).agg(_preferred().alias("kept"), _preferred(F.col("known")).alias("before"))
+    changed = ~F.col("kept").eqNullSafe(F.col("before"))
+    return merged.select(*IDENTITY, *_unpacked("kept"), changed.alias("changed")).select(*ORDER_COLUMNS, "changed")
+
+
 def removed_lines(orders: DataFrame) -> DataFrame:
     """Every line that :func:`unique_lines` leaves out, each as often as it occurs.
 

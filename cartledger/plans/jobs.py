@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartledger.functions.money import total
-from cartledger.plans import audit
+from cartledger.plans import audit, incremental
 from cartledger.plans.pipeline import Curated, curate
 from cartledger.schemas import RAW_SCHEMA
 from cartledger.sinks.parquet import write_table
+from cartledger.sinks.snapshots import Zone
 from cartledger.sources import csv_files, csv_ranges, curated
 from cartledger.streaming import ingest
 from cartledger.warehouse import Warehouse
@@ -61,6 +64,45 @@ def curated_tables(w: Warehouse) -> DataFrame:
     return audit.table_counts(_curate(w).warehouse.table)
 
 
+BATCHES = 3
+
+
+def _figures(w: Warehouse) -> DataFrame:
+    """Each table in a few rows: how many, an amount and a number per part of it."""
+    month = lambda c: F.date_format(F.col(c).cast("date"), "yyyy-MM")
+    zero = F.lit(0)
+    parts = {
+        "fact_orders": (F.concat_ws(" ", "order_status", month("order_date")), F.sum("line_total"), F.sum("quantity")),
+        "revenue_summary": (month("month"), F.sum("total_revenue"), F.sum("total_orders")),
+        "product_performance": (month("month"), F.sum("total_revenue"), F.sum("overall_rank")),
+        "customer_retention": (F.col("customer_status"), F.sum("lifetime_spend"), F.sum("total_orders")),
+        "dim_customers": (F.coalesce("customer_segment", F.lit("none")), F.sum(zero), F.sum("customer_id")),
+        "dim_products": (F.lit("all"), F.sum("avg_unit_price"), F.sum(zero)),
+    }
+    figures = [
+        w.table(key)
+        .groupBy(part.alias("part"))
+        .agg(F.count(F.lit(1)).alias("row_count"), amount.cast("double").alias("amount"), number.cast("long").alias("number"))
+        .select(F.lit(key).alias("table_name"), "part", "row_count", "amount", "number")
+        for key, (part, amount, number) in parts.items()
+    ]
+    return reduce(DataFrame.unionByName, figures)
+
+
+def incremental_tables(w: Warehouse) -> DataFrame:
+    """The tables of each version as batches come in one by one, the last one with lines sent before."""
+    root, lines = w.stage.path("published"), w.stage.table(w.lines, "lines")
+    batch = F.coalesce("customer_id", F.lit(0)) % BATCHES
+    for number in range(BATCHES):
+        sent_again = (F.lit(number == BATCHES - 1)) & (F.col("quantity") % 4 == 0)
+        incremental.take_in(w.spark, root, lines.where((batch == number) | sent_again), w.params, w.rules)
+    zone = Zone(w.spark, root)
+    versions = [incremental.SnapshotWarehouse(zone.at(v), w.params) for v in zone.versions()]
+    return reduce(
+        DataFrame.unionByName, [_figures(v).withColumn("version", F.lit(v.snapshot.version)) for v in versions]
+    )
+
+
 def ingest_available_now(w: Warehouse) -> DataFrame:
     """What the stream makes of the lines, arriving as files."""
     zone = w.stage.path("lines")

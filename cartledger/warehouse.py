@@ -173,7 +173,7 @@ class CuratedWarehouse(Warehouse):
 
     @cached_property
     def fact(self) -> DataFrame:
-        return curated.read_fact(self.spark, self.root)
+        return self._read("fact_orders").drop(curated.MONTH)
 
     @cached_property
     def customer_orders(self) -> DataFrame:
@@ -181,7 +181,7 @@ class CuratedWarehouse(Warehouse):
 
     def products_sold_within(self, days: int) -> DataFrame:
         since = latest(self.fact, "order_date") - F.make_dt_interval(days=F.lit(days))
-        fact = curated.since(curated.read_table(self.spark, self.root, "fact_orders"), since)
+        fact = curated.since(self._read("fact_orders"), since)
         return fact.select("product_id").distinct()
 
     def counted(self, key: str) -> DataFrame:

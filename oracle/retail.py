@@ -213,10 +213,13 @@ def _ctes(p: Params) -> dict[str, tuple[list[str], str]]:
     }
 
 
-def _query(p: Params, needs: str, select: str, lines: str | None) -> str:
+def _query(p: Params, needs: str, select: str, lines: str | None, where: str | None = None) -> str:
+    """``lines`` replaces the lines that all else starts from; ``where`` leaves some out."""
     ctes = _ctes(p)
     if lines is not None:
         ctes["lines"] = ([], lines)
+    if where is not None:
+        ctes["lines"] = (ctes["lines"][0], f"SELECT * FROM ({ctes['lines'][1]}) WHERE {where}")
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -405,6 +408,22 @@ TABLE_ROWS = [
 ALL_TABLES = "dimc dimp fact summ ret perf"
 
 
+def _figures() -> str:
+    """Each table in a few rows, as the job hands them over."""
+    parts = [
+        ("fact_orders", "fact", "order_status || ' ' || strftime(order_date, '%Y-%m')", "sum(line_total)", "sum(quantity)"),
+        ("revenue_summary", "summ", "strftime(month, '%Y-%m')", "sum(total_revenue)", "sum(total_orders)"),
+        ("product_performance", "perf", "strftime(month, '%Y-%m')", "sum(total_revenue)", "sum(overall_rank)"),
+        ("customer_retention", "ret", "customer_status", "sum(lifetime_spend)", "sum(total_orders)"),
+        ("dim_customers", "dimc", "coalesce(customer_segment, 'none')", "0", "sum(customer_id)"),
+        ("dim_products", "dimp", "'all'", "sum(avg_unit_price)", "0"),
+    ]
+    return "\nUNION ALL ".join(
+        f"SELECT '{key}' AS table_name, {part} AS part, count(*) AS row_count, {_dbl(amount, 'amount')}, {_big(number, 'number')} FROM {cte} GROUP BY 2"
+        for key, cte, part, amount, number in parts
+    )
+
+
 def texts(p: Params = PARAMS, lines: str | None = None) -> dict[str, str]:
     """All texts; ``lines`` is SQL that replaces the lines derived from the order tables."""
 
@@ -616,6 +635,14 @@ def texts(p: Params = PARAMS, lines: str | None = None) -> dict[str, str]:
                 FROM fact GROUP BY 1, 2""",
         ),
         "curated_tables": q(ALL_TABLES, counts()),
+        "incremental_tables": "\nUNION ALL ".join(
+            f"SELECT CAST({v} AS INTEGER) AS version, * FROM ({_query(p, ALL_TABLES, _figures(), lines, where)})"
+            for v, where in (
+                (1, "coalesce(customer_id, 0) % 3 < 1"),
+                (2, "coalesce(customer_id, 0) % 3 < 2"),
+                (3, "true"),
+            )
+        ),
         "ingest_available_now": q(
             "judged",
             f"""SELECT CASE WHEN {all_good} THEN 'valid' ELSE 'rejected' END AS verdict, count(*) AS line_count,

@@ -50,3 +50,15 @@ def test_ingest_and_rebuild(spark, raw, tmp_path, capsys):
 def test_unknown_commands_are_refused():
     with pytest.raises(SystemExit):
         main(["upload"])
+
+
+def test_a_published_zone(spark, tmp_path, capsys):
+    root = str(tmp_path / "zone")
+    for number in (1, 2):
+        (tmp_path / f"{number}.csv").write_text(HEADER + f"{number},A,x,2,2010-01-01 00:00:00,1.50,1.0,eire\n")
+        main(["merge", str(tmp_path / f"{number}.csv"), root])
+    main(["versions", root])
+    main(["report", "total_orders", root])
+    main(["vacuum", root, "--keep", "1"])
+    out = capsys.readouterr().out
+    assert "version: 2" in out and "1: {" in out and "|2 " in out and "deleted: 1" in out
