@@ -50,35 +50,6 @@ def surrogate_key(df: DataFrame, name: str, order: Sequence[Column], stage: Stag
     return row_index(df, order, stage, name).withColumn(name, F.col(name) + 1)
 
 
-def ntiles(
-    df: DataFrame,
-    tiles: int,
-    orders: dict[str, tuple[Sequence[Column], Sequence[str]]],
-    stage: StageArea,
-) -> DataFrame:
-    """Add one tile number per entry of ``orders``: name -> (ordering, its columns).
-
-    Tiles are those of ``ntile``: sizes differ by at most one, larger ones first.
-    ``df`` is a staged table; each ordering must leave no ties.
-    """
-    # The last row of each tile but the final one; a row's tile is one more
-    # than the number of those rows that lie before it.
-    rows = df.agg(F.count(F.lit(1))).scalar()
-    small, extra = F.floor(rows / tiles), rows % tiles
-    ends = [t * small + F.least(F.lit(t), extra) - 1 for t in range(1, tiles)]
-    scored = df
-    for name, (order, columns) in orders.items():
-        cuts = (
-            row_index(df.select(*columns), order, stage, f"{name}_index")
-            .where(F.col(f"{name}_index").isin(ends))
-            .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("cuts"))
-            .scalar()
-        )
-        passed = [F.coalesce((F.get(cuts, F.lit(i)) < F.struct(*columns)).cast("int"), F.lit(0)) for i in range(tiles - 1)]
-        scored = scored.withColumn(name, sum(passed, F.lit(1)))
-    return scored
-
-
 def dense_rank(
     df: DataFrame,
     value: str,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartledger.operators.ranking import ntiles
+from cartledger.operators.selection import tiles
 from cartledger.staging import StageArea
 
 # Number of tiles, and the segments as lowest and highest scores
@@ -40,23 +40,9 @@ def metrics(customer_orders: DataFrame) -> DataFrame:
     )
 
 
-def scores(staged_metrics: DataFrame, stage: StageArea) -> DataFrame:
+def scores(staged_metrics: DataFrame) -> DataFrame:
     """Three tile numbers per customer; equal values are ordered by customer."""
-
-    def ascending(metric: str) -> tuple[list[Column], list[str]]:
-        columns = [metric, "customer_id"]
-        return [F.col(c).asc() for c in columns], columns
-
-    return ntiles(
-        staged_metrics,
-        TILES,
-        {
-            "r_score": ascending("last_day"),
-            "f_score": ascending("frequency"),
-            "m_score": ascending("monetary"),
-        },
-        stage,
-    )
+    return tiles(staged_metrics, TILES, {"r_score": "last_day", "f_score": "frequency", "m_score": "monetary"}, "customer_id")
 
 
 def segment_of(recency: Column, frequency: Column, monetary: Column) -> Column:
@@ -70,6 +56,6 @@ def segment_of(recency: Column, frequency: Column, monetary: Column) -> Column:
 
 
 def segments(customer_orders: DataFrame, stage: StageArea) -> DataFrame:
-    scored = scores(stage.table(metrics(customer_orders), "rfm_metrics"), stage)
+    scored = scores(stage.table(metrics(customer_orders), "rfm_metrics"))
     segment = segment_of(F.col("r_score"), F.col("f_score"), F.col("m_score"))
     return scored.select("customer_id", segment.alias("customer_segment"))

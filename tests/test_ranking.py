@@ -19,21 +19,6 @@ def numbers(spark, n, distinct=7):
     return spark.range(n).select(F.col("id").cast("int"), (F.hash("id") % distinct).alias("v"))
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 4, 5, 6, 11, 1000])
-def test_tiles_are_those_of_ntile(spark, stage, n):
-    df = stage.table(numbers(spark, n), "numbers")
-    order = [F.asc("v"), F.asc("id")]
-    wanted = rows(df.withColumn("t", F.ntile(5).over(Window.orderBy(*order))), "id", "t")
-    got = ranking.ntiles(df, 5, {"t": (order, ["v", "id"])}, stage)
-    assert rows(got, "id", "t") == wanted
-
-
-def test_tile_sizes_differ_by_at_most_one(spark, stage):
-    df = stage.table(numbers(spark, 1003, distinct=1), "numbers")
-    got = ranking.ntiles(df, 5, {"t": ([F.asc("v"), F.asc("id")], ["v", "id"])}, stage)
-    assert sorted(r["count"] for r in got.groupBy("t").count().collect()) == [200, 200, 201, 201, 201]
-
-
 @pytest.mark.parametrize("within", [[], ["g"]])
 def test_dense_rank_is_the_window_function(spark, stage, within):
     df = numbers(spark, 500, distinct=20).withColumn("g", F.when(F.col("id") % 3 > 0, F.col("id") % 3))
@@ -48,11 +33,3 @@ def test_keys_are_dense_and_follow_the_order(spark, stage):
     keyed = ranking.surrogate_key(df, "key", [F.desc("v"), F.asc("id")], stage)
     wanted = [(i + 1, *t) for i, t in enumerate(sorted(rows(df, "v", "id"), key=lambda t: (-t[0], t[1])))]
     assert rows(keyed, "key", "v", "id") == wanted
-
-
-def test_the_spread_plan_has_no_window_over_the_rows(spark, stage):
-    df = stage.table(numbers(spark, 100), "numbers")
-    plan = ranking.ntiles(df, 5, {"t": ([F.asc("v"), F.asc("id")], ["v", "id"])}, stage)
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    main = text.split("Subquery")[0]
-    assert "Window" not in main and "SinglePartition" not in main
