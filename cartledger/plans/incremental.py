@@ -13,6 +13,8 @@ once, whatever their order, and however often a line is sent again.
   sums over its lines; they are made anew for changed months only.  Summaries of a
   month follow its state; those that count customers' countries also where a
   customer's country changed.
+- *Distinct orders.*  Orders keep the number they got with their first batch; months
+  keep bitmaps of them per country (:mod:`cartledger.operators.distinct`).
 - *Whole tables.*  Retention, segments and prices add up the months' states, not
   lines.  Names and countries are maxima, which a batch can only raise.
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cartledger.functions.dates import year_month
 from cartledger.functions.money import per_unit, total
-from cartledger.operators import dedup, marts, rfm, star
+from cartledger.operators import dedup, distinct, marts, rfm, star
 from cartledger.operators.extracts import ORDER_COLUMNS
 from cartledger.operators.quality import Rule
 from cartledger.params import Params
@@ -44,6 +46,7 @@ BUCKET, BUCKETS = "bucket", 4
 CELL = [MONTH, BUCKET]
 MONTH_ORDERS, MONTH_PRODUCTS = "month_orders", "month_products"
 COUNTRIES, NAMES = "customer_countries", "product_names"
+NUMBERS, BITMAPS = "order_numbers", "order_bitmaps"
 
 
 class SnapshotWarehouse(CuratedWarehouse):
@@ -62,6 +65,10 @@ class SnapshotWarehouse(CuratedWarehouse):
     def customer_orders(self) -> DataFrame:
         return whole_orders(self.snapshot.read(MONTH_ORDERS))
 
+    @cached_property
+    def order_bitmaps(self) -> DataFrame:
+        return self.snapshot.read(BITMAPS)
+
 
 def open_zone(spark: SparkSession, root: str, params: Params = Params(), version: int | None = None) -> CuratedWarehouse:
     """What stands below the root: a version (by default the last one), or else plain curated folders."""
@@ -203,8 +210,12 @@ def _derive(commit: Commit, changed: list[str], recountried: DataFrame, params:
         elsewhere = _cells(zone.read(MONTH_ORDERS, others).join(recountried, "customer_id", "left_semi"), MONTH) if others else []
         again = sorted({*months, *elsewhere})
         if again or not zone.has("revenue_summary"):
-            summed = revenue_summary(zone.read(MONTH_ORDERS, again), zone.read(COUNTRIES))
-            commit.write("revenue_summary", summed, [MONTH], replaced=again)
+            orders, countries = zone.read(MONTH_ORDERS, again), zone.read(COUNTRIES)
+            commit.write("revenue_summary", revenue_summary(orders, countries), [MONTH], replaced=again)
+            known = zone.read(NUMBERS) if zone.has(NUMBERS) else None
+            numbers = distinct.new_numbers(orders, countries, known, stage)
+            commit.write(NUMBERS, numbers.withColumn("since", F.lit(zone.version)), ["since"], replaced=[])
+            commit.write(BITMAPS, distinct.month_bitmaps(orders, countries, zone.read(NUMBERS).drop("since")), [MONTH], replaced=again)
 
     def customers() -> None:
         orders = stage.table(whole_orders(zone.read(MONTH_ORDERS)), "customer_orders")

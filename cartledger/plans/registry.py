@@ -26,6 +26,7 @@ REPORTS: dict[str, Query] = {
         reports.product_revenue_ranking,
         reports.product_units_sold,
         reports.revenue_per_country,
+        reports.rolling_orders,
         reports.running_total_revenue,
         reports.top_10_customers,
         reports.top_product_per_country,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cartledger.functions.dates import month_of
 from cartledger.functions.money import per_unit, total
+from cartledger.operators import distinct
 from cartledger.operators.ranking import dense_rank
 from cartledger.schemas import MONEY
 from cartledger.warehouse import Warehouse
@@ -200,3 +201,8 @@ def top_product_per_country(w: Warehouse) -> DataFrame:
         .select("country", "product_id", "product_name", "total_revenue", F.lit(1).alias("product_rank"))
         .orderBy(F.col("country").asc_nulls_last(), "product_id")
     )
+
+
+def rolling_orders(w: Warehouse, months: int = 3) -> DataFrame:
+    """Distinct orders per country in the months up to each month, from the warehouse's bitmaps."""
+    return distinct.rolling(w.order_bitmaps, months).select("country", F.col("until").alias("year_month"), "total_orders")

@@ -13,8 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartledger.functions.dates import latest
-from cartledger.operators import dedup, extracts, marts, quality, rfm, star
+from cartledger.functions.dates import latest, year_month
+from cartledger.operators import dedup, distinct, extracts, marts, quality, rfm, star
 from cartledger.operators.quality import Rule
 from cartledger.params import Params
 from cartledger.schemas import TABLES
@@ -115,6 +115,14 @@ class Warehouse:
         since = latest(last, "last_line") - F.make_dt_interval(days=F.lit(days))
         return last.where(F.col("last_line") >= since).select("product_id")
 
+    @cached_property
+    def order_bitmaps(self) -> DataFrame:
+        """The numbers of each month's and country's completed orders."""
+        orders = star.completed(self.fact).select(year_month(F.col("order_date")).alias(curated.MONTH), "customer_id", "order_id")
+        orders = self.stage.table(orders.distinct(), "month_orders")
+        numbers = self.stage.table(distinct.new_numbers(orders, self.countries, None, self.stage), "order_numbers")
+        return distinct.month_bitmaps(orders, self.countries, numbers)
+
     @cached_property
     def revenue_summary(self) -> DataFrame:
         return marts.revenue_summary(self.fact, self.countries)

@@ -551,6 +551,14 @@ def texts(p: Params = PARAMS, lines: str | None = None) -> dict[str, str]:
                        {_dbl('sum(b.rev)', 'running_total')}
                 FROM m a JOIN m b ON b.month <= a.month GROUP BY a.month""",
         ),
+        "rolling_orders": q(
+            "done cust",
+            """, m AS (SELECT DISTINCT country, date_trunc('month', order_date) AS month, order_id FROM done JOIN cust USING (customer_id)),
+                 ends AS (SELECT DISTINCT country, unnest([month, month + INTERVAL 1 MONTH, month + INTERVAL 2 MONTH]) AS until FROM m)
+               SELECT country, strftime(until, '%Y-%m') AS year_month, count(DISTINCT order_id) AS total_orders
+               FROM ends JOIN m USING (country) WHERE month BETWEEN until - INTERVAL 2 MONTH AND until
+                 AND until <= (SELECT max(month) FROM m) GROUP BY 1, 2""",
+        ),
         "order_status_distribution": q(
             "fact", "SELECT order_status, count(DISTINCT order_id) AS total_orders FROM fact GROUP BY 1"
         ),
