@@ -2,7 +2,8 @@
 
     etl RAW ROOT [--single-line]     raw CSV to the curated zone
     ingest RAW ZONE STATE            take in newly arrived CSV files, then stop
-    rebuild ZONE ROOT                ingested lines to the curated zone
+    arrive RAW ZONE                  take in new CSV files by content: each counts once, replaced ones supersede
+    rebuild ZONE ROOT                lines taken in, by either command, to the curated zone
     merge RAW ROOT                   merge raw CSV files into a published zone, as its next version
     versions ROOT                    the versions of a published zone
     vacuum ROOT [--keep N]           delete all but its last N versions and what only they use
@@ -23,7 +24,7 @@ from cartledger.plans.pipeline import Curated, curate, curate_csv
 from cartledger.session import prepare
 from cartledger.sinks.snapshots import Zone, vacuum
 from cartledger.sources import csv_files, csv_ranges
-from cartledger.streaming import ingest
+from cartledger.streaming import arrivals, ingest
 
 REPORT_ROWS = 1000  # rows printed
 
@@ -40,6 +41,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
 
     command("etl", "raw", "root").add_argument("--single-line", action="store_true", help="no line breaks in fields")
     command("ingest", "raw", "zone", "state")
+    command("arrive", "raw", "zone")
     command("rebuild", "zone", "root")
     command("merge", "raw", "root").add_argument("--single-line", action="store_true", help="no line breaks in fields")
     command("versions", "root")
@@ -69,8 +71,12 @@ def main(argv: list[str] | None = None) -> None:
         _tell(curate_csv(spark, a.raw, a.root, params, multi_line=not a.single_line))
     elif a.command == "ingest":
         ingest.ingest_available(spark, a.raw, a.zone, a.state, params).awaitTermination()
+    elif a.command == "arrive":
+        print(f"version: {arrivals.take_in_files(spark, a.raw, a.zone).version}")
     elif a.command == "rebuild":
-        _tell(curate(ingest.ingested_lines(spark, a.zone), a.root, params))
+        arrived = Zone(spark, a.zone).latest()
+        lines = arrivals.live_lines(arrived) if arrived else ingest.ingested_lines(spark, a.zone)
+        _tell(curate(lines, a.root, params))
     elif a.command == "merge":
         lines = csv_files.read_lines(spark, a.raw, multi_line=False) if a.single_line else csv_ranges.read_lines(spark, a.raw)
         done = incremental.take_in(spark, a.root, lines, params, raw=a.raw)

@@ -12,9 +12,9 @@ from cartledger.plans import audit, incremental
 from cartledger.plans.pipeline import Curated, curate
 from cartledger.schemas import RAW_SCHEMA
 from cartledger.sinks.parquet import write_table
-from cartledger.sinks.snapshots import Zone
+from cartledger.sinks.snapshots import Files, Zone
 from cartledger.sources import csv_files, csv_ranges, curated
-from cartledger.streaming import ingest
+from cartledger.streaming import arrivals, ingest
 from cartledger.warehouse import Warehouse
 
 
@@ -103,6 +103,36 @@ def incremental_tables(w: Warehouse) -> DataFrame:
     )
 
 
+def _land(w: Warehouse, lines: DataFrame, folder: str, name: str) -> None:
+    """The lines as files ``<name>-<number>.csv`` in the folder, in place of those there are."""
+    files = Files(w.spark, folder)
+    for number, (uri, _) in enumerate(sorted(files.found(f"{_raw_csv(w, lines)}/part-*"))):
+        target = f"{folder}/{name}-{number:05d}.csv"
+        files.delete(target)
+        files.rename(uri, target)
+
+
+def file_arrivals(w: Warehouse) -> DataFrame:
+    """Lines per country after files came, came again under other names, and were replaced."""
+    raw, zone = w.stage.path("arriving"), w.stage.path("arrived")
+    part = F.coalesce("customer_id", F.lit(0)) % 3
+    first, second, third = (w.stage.table(w.lines.where(part == i), "some_lines") for i in range(3))
+    wrong = second.withColumn("quantity", F.col("quantity") + 1)
+    for landings in ([(first, "a"), (wrong, "b")], [(first, "again"), (second, "b")], [(third, "c"), (third, "copy")]):
+        for lines, name in landings:
+            _land(w, lines, raw, name)
+        snapshot = arrivals.take_in_files(w.spark, raw, zone)
+    return (
+        arrivals.live_lines(snapshot)
+        .groupBy("country")
+        .agg(
+            F.count(F.lit(1)).alias("line_count"),
+            F.sum("quantity").alias("units"),
+            F.sum(F.col("quantity") * F.col("unit_price")).alias("amount"),
+        )
+    )
+
+
 def ingest_available_now(w: Warehouse) -> DataFrame:
     """What the stream makes of the lines, arriving as files."""
     zone = w.stage.path("lines")

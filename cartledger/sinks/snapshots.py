@@ -40,7 +40,7 @@ class Conflict(RuntimeError):
     """Somebody else has published the version in the meantime."""
 
 
-class _Files:
+class Files:
     """The few file operations that are not Spark reads or writes, on whatever store the URI names."""
 
     def __init__(self, spark: SparkSession, root: str):
@@ -65,6 +65,8 @@ class _Files:
             out.close()
 
     def rename(self, source: str, target: str) -> bool:
+        """Whether the target was free and now is the source; its folder is made if need be."""
+        self._fs.mkdirs(self.path(target).getParent())
         return not self.exists(target) and self._fs.rename(self.path(source), self.path(target))
 
     def delete(self, uri: str) -> None:
@@ -103,7 +105,7 @@ class Zone:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.files = _Files(spark, self.root)
+        self.files = Files(spark, self.root)
 
     def versions(self) -> list[int]:
         names = [uri.rsplit("/", 1)[1] for uri, _ in self.files.found(f"{self.root}/{VERSIONS}/*.json")]

@@ -34,13 +34,13 @@ def read_raw(spark: SparkSession, path: str | list[str], multi_line: bool = True
     return spark.read.schema(READ_SCHEMA).options(**csv_options(multi_line)).csv(path)
 
 
-def to_lines(raw: DataFrame) -> DataFrame:
-    """Raw columns under the names and types every operator expects.
+def to_lines(raw: DataFrame, *carried: str) -> DataFrame:
+    """Raw columns under the names and types every operator expects, and those ``carried`` besides.
 
     Customer numbers arrive as ``13085.0`` and lose what stands after the point;
     one that is no number becomes null rather than an error.  The text of unparsed rows, when read, is carried on.
     """
-    carried = [CORRUPT] if CORRUPT in raw.columns else []
+    also = [CORRUPT] if CORRUPT in raw.columns else []
     return raw.select(
         F.col("Invoice").alias("invoice_no"),
         F.col("StockCode").alias("stock_code"),
@@ -50,6 +50,7 @@ def to_lines(raw: DataFrame) -> DataFrame:
         F.col("Price").alias("unit_price"),
         F.col("Customer ID").try_cast("int").alias("customer_id"),
         F.col("Country").alias("country"),
+        *also,
         *carried,
     )
 

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartledger.schemas import CORRUPT
@@ -202,10 +202,15 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows(cutter, cutter.close())
 
 
+def file_key(path: Column) -> Column:
+    """A number for a file's path."""
+    return F.xxhash64(path)
+
+
 def _scanned(spark: SparkSession, path: str | list[str]) -> DataFrame:
     text = spark.read.option("lineSep", "\n").text(path)
     return text.select(
-        "value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+        "value", file_key(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("start")
     )
 
 
@@ -224,7 +229,7 @@ def ranges(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The text of every record of the files but their headers."""
+    """(file, text) of every record of the files but their headers; ``file`` is :func:`file_key`."""
     scanned = _scanned(spark, path)
     opened = StageArea.of(spark).table(ranges(spark, path).where("begins_open"), "csv_ranges")
     if opened.count() <= BROADCAST_RANGES:
@@ -243,17 +248,21 @@ def records(spark: SparkSession, path: str | list[str]) -> DataFrame:
         .groupBy("file", "begins")
         .agg(F.min("kind").alias("kind"), F.array_sort(F.collect_list(F.struct("start", "text"))).alias("parts"))
         .where("kind >= 0")
-        .select(F.array_join(F.transform("parts", lambda p: p.text), "\n").alias("text"))
+        .select("file", F.array_join(F.transform("parts", lambda p: p.text), "\n").alias("text"))
     )
-    text = F.regexp_replace("text", "\r$", "")
-    return cut.where(F.col("kind") == COMPLETE).select("text").unionByName(whole).select(text.alias("text")).where("text != ''")
+    text = F.regexp_replace("text", "\r$", "").alias("text")
+    return cut.where(F.col("kind") == COMPLETE).select("file", "text").unionByName(whole).select("file", text).where("text != ''")
 
 
-def read_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The same rows and columns as :func:`csv_files.read_raw`, each file in as many tasks as it has ranges."""
+def read_raw(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
+    """The same rows and columns as :func:`csv_files.read_raw`, each file in as many tasks as it has ranges.
+
+    With ``with_file`` also the :func:`file_key` of a row's file, as ``file``.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in READ_SCHEMA.fields)
     options = {k: v for k, v in csv_options().items() if k != "header"}
-    return records(spark, path).select(F.from_csv("text", schema, options).alias("row")).select("row.*")
+    rows = records(spark, path).select("file", F.from_csv("text", schema, options).alias("row"))
+    return rows.select(*(["file"] if with_file else []), "row.*")
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:

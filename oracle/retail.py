@@ -651,6 +651,11 @@ def texts(p: Params = PARAMS, lines: str | None = None) -> dict[str, str]:
                 (3, "true"),
             )
         ),
+        "file_arrivals": q(
+            "lines",
+            f"""SELECT country, count(*) AS line_count, {_big('sum(quantity)', 'units')}, {_dbl('sum(quantity * unit_price)', 'amount')}
+                FROM lines GROUP BY 1""",
+        ),
         "ingest_available_now": q(
             "judged",
             f"""SELECT CASE WHEN {all_good} THEN 'valid' ELSE 'rejected' END AS verdict, count(*) AS line_count,
