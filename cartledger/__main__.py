@@ -1,6 +1,6 @@
 """Submit entry point: ``spark-submit -m cartledger <command>`` or ``python -m cartledger``.
 
-    etl RAW ROOT [--single-line]     raw CSV to the curated zone
+    etl RAW ROOT [--single-line] [--clustered]   raw CSV to the curated zone
     ingest RAW ZONE STATE            take in newly arrived CSV files, then stop
     arrive RAW ZONE                  take in new CSV files by content: each counts once, replaced ones supersede
     rebuild ZONE ROOT                lines taken in, by either command, to the curated zone
@@ -39,7 +39,9 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
             sub.add_argument(argument)
         return sub
 
-    command("etl", "raw", "root").add_argument("--single-line", action="store_true", help="no line breaks in fields")
+    etl = command("etl", "raw", "root")
+    etl.add_argument("--single-line", action="store_true", help="no line breaks in fields")
+    etl.add_argument("--clustered", action="store_true", help="lay lines out by customer and product")
     command("ingest", "raw", "zone", "state")
     command("arrive", "raw", "zone")
     command("rebuild", "zone", "root")
@@ -68,7 +70,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = prepare(SparkSession.builder.appName(f"cartledger-{a.command}").getOrCreate())
     params = Params.from_env()
     if a.command == "etl":
-        _tell(curate_csv(spark, a.raw, a.root, params, multi_line=not a.single_line))
+        _tell(curate_csv(spark, a.raw, a.root, params, multi_line=not a.single_line, clustered=a.clustered))
     elif a.command == "ingest":
         ingest.ingest_available(spark, a.raw, a.zone, a.state, params).awaitTermination()
     elif a.command == "arrive":

@@ -59,6 +59,22 @@ def curated_write(w: Warehouse) -> DataFrame:
     )
 
 
+LOOKED_UP = 97  # of so many customers and products one is looked up
+
+
+def clustered_lookups(w: Warehouse) -> DataFrame:
+    """Lines, units and revenue of some customers and some products, from a clustered fact table."""
+    root = w.stage.path("clustered")
+    write_table(w.stage.table(w.fact, "fact"), root, "fact_orders", clustered=True)
+    fact = curated.read_fact(w.spark, root)
+    figures = [F.count(F.lit(1)).alias("line_count"), F.sum("quantity").alias("units"), total(F.col("line_total")).alias("revenue")]
+    found = []
+    for column in ("customer_id", "product_id"):
+        some = fact.where(F.col(column).cast("int") % LOOKED_UP == 1).groupBy(F.col(column).cast("string").alias("key"))
+        found.append(some.agg(*figures).select(F.lit(column).alias("looked_up"), "*"))
+    return found[0].unionByName(found[1])
+
+
 def curated_tables(w: Warehouse) -> DataFrame:
     """Rows of each curated table after a run."""
     return audit.table_counts(_curate(w).warehouse.table)

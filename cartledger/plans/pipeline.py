@@ -33,8 +33,9 @@ def curate(
     params: Params = Params(),
     rules: Sequence[Rule] | None = None,
     segmenter: Callable[[DataFrame], DataFrame] | None = None,
+    clustered: bool = False,
 ) -> Curated:
-    """Write the six tables below ``root``.
+    """Write the six tables below ``root``, the fact table laid out by customer and product if ``clustered``.
 
     The fact table is written first and everything else is built from what was
     written: lines are validated and deduplicated once, and all tables agree.
@@ -43,7 +44,8 @@ def curate(
     stage = StageArea.for_job(spark, "curate")
     try:
         source = Warehouse(lines, params, rules, segmenter, stage)
-        write_table(source.fact, root, "fact_orders")
+        fact = stage.table(source.fact, "fact") if clustered else source.fact
+        write_table(fact, root, "fact_orders", clustered)
         curated.write_params(spark, root, params)
         w = source.on_fact(curated.read_fact(spark, root))
         with ThreadPoolExecutor(WRITERS) as pool:

@@ -642,6 +642,15 @@ def texts(p: Params = PARAMS, lines: str | None = None) -> dict[str, str]:
                        {_big('sum(quantity)', 'units')}, {_dbl('sum(line_total)', 'revenue')}
                 FROM fact GROUP BY 1, 2""",
         ),
+        "clustered_lookups": q(
+            "fact",
+            "\nUNION ALL ".join(
+                f"""SELECT '{c}' AS looked_up, CAST({c} AS VARCHAR) AS key, count(*) AS line_count,
+                           {_big('sum(quantity)', 'units')}, {_dbl('sum(line_total)', 'revenue')}
+                    FROM fact WHERE CAST({c} AS INTEGER) % 97 = 1 GROUP BY 2"""
+                for c in ("customer_id", "product_id")
+            ),
+        ),
         "curated_tables": q(ALL_TABLES, counts()),
         "incremental_tables": "\nUNION ALL ".join(
             f"SELECT CAST({v} AS INTEGER) AS version, * FROM ({_query(p, ALL_TABLES, _figures(), lines, where)})"
