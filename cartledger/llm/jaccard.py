@@ -21,8 +21,11 @@ too.
 whose other lanes already number more than d does not need them; otherwise it
 uses as many as are missing, rarest first in an order that is the same for all
 (the prefix principle), so no link is lost.  In the frequent lanes that remain,
-sets are first compared with the smallest of the lane; only sets that then still
-lie in different components are compared with each other.
+sets are first compared with the smallest of the lane.  Sets that then still lie
+in different components are joined by their rarest shingles: with these counted
+and put in one order, rarest first, linked sets of a and b shingles share one
+among the first a - ceil(t a) + 1 of each, and behind it enough for the overlap
+they need.  A passage that many share comes last in that order and joins nothing.
 
 *Verify.*  A second sketch of 1024 bits, one of which each shingle flips, gives
 another lower bound of the difference; candidates that pass it are checked on
@@ -63,6 +66,7 @@ class Similarity:
     percent: int = 75
     width: int = 5
     frequent: int = 16  # sets in a lane above which it is used only where needed
+    dealt: int = 256  # sets that have a shingle for each task in which they meet
     broadcast_rows: int = 1_000_000  # keys of candidates up to which documents are not shuffled
 
     def difference(self, a, b):
@@ -348,9 +352,8 @@ def _plausible(pairs: DataFrame, classes: DataFrame, crowded: DataFrame, rule: S
     return both.where(near).select("x", "y")
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, text: str, row: Column, rule: Similarity) -> DataFrame:
-    """Of the pairs of classes (x, y), those whose whole sets reach the similarity."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct()
+def _sets(wanted: DataFrame, documents: DataFrame, classes: DataFrame, text: str, row: Column, rule: Similarity) -> DataFrame:
+    """(class, shingles) of the wanted classes, written once."""
     keys = staged(wanted.join(classes, "class").select("class", F.col("row").alias("key")), "jaccard_wanted")
     if keys.count() <= rule.broadcast_rows:
         keys = F.broadcast(keys)
@@ -364,7 +367,11 @@ def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, text:
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
 
     texts = documents.select(row.alias("key"), F.col(text).alias("text")).join(keys, "key")
-    sets = staged(texts.dropDuplicates(["class"]).select("class", shingles("text").alias("shingles")), "jaccard_sets")
+    return staged(texts.dropDuplicates(["class"]).select("class", shingles("text").alias("shingles")), "jaccard_sets")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
+    """Of the pairs of classes (x, y), those whose whole sets reach the similarity."""
     both = (
         pairs.join(sets.select(F.col("class").alias("x"), F.col("shingles").alias("xs")), "x")
         .join(sets.select(F.col("class").alias("y"), F.col("shingles").alias("ys")), "y")
@@ -374,6 +381,11 @@ def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, text:
     return staged(both.where(100 * F.col("common").cast("long") >= rule.percent * union).select("x", "y"), "jaccard_links")
 
 
+def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, text: str, row: Column, rule: Similarity) -> DataFrame:
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("class")).distinct()
+    return _linked(pairs, _sets(wanted, documents, classes, text, row, rule), rule)
+
+
 def _candidates(lanes: Lanes) -> DataFrame:
     """(x, y, n_shared): pairs with the ordinary lanes they share, and in frequent lanes each set with the smallest."""
     left = lanes.few.select("sig", F.col("class").alias("x"))
@@ -393,28 +405,44 @@ def _close(x: str, y: str, rule: Similarity) -> Column:
     )
 
 
-def _remaining(lanes: Lanes, labels: DataFrame, classes: DataFrame, rule: Similarity) -> DataFrame:
-    """(x, y, n_shared): pairs of frequent lanes whose sets lie in different components, not with the smallest.
-
-    Sketches are compared inside the join, so only plausible pairs come out of it.
-    """
+def _remaining(lanes: Lanes, labels: DataFrame) -> DataFrame:
+    """(class, component) of the sets that share a frequent lane with a set of another component."""
     many = lanes.many.join(labels, F.col("class") == F.col("node"), "left")
     many = many.select("sig", "class", F.coalesce("component", "class").alias("component"))
     split = many.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("class").alias("hub"))
-    many = staged(many.join(split.where("low < high").select("sig", "hub"), "sig").where("class != hub"), "jaccard_split")
-    sketched = many.join(classes.select("class", "n_shingles", *BITS), "class")
+    apart = many.join(split.where("low < high").select("sig", "hub"), "sig").where("class != hub")
+    return staged(apart.select("class", "component").distinct(), "jaccard_split")
 
-    def side(name: str) -> DataFrame:
-        own = [F.col(c).alias(f"{name}_{c}") for c in ("component", "n_shingles", *BITS)]
-        return sketched.select("sig", F.col("class").alias(name), *own)
 
-    x, y = side("x").alias("l"), side("y").alias("r")
-    apart = (F.col("l.sig") == F.col("r.sig")) & (F.col("x") < F.col("y")) & (F.col("x_component") != F.col("y_component"))
-    pairs = x.join(y, apart & _close("x", "y", rule)).select("x", "y").distinct()
-    few = lanes.few.join(many.select("class").distinct(), "class", "left_semi")
-    shared = few.select("sig", F.col("class").alias("x")).join(few.select("sig", F.col("class").alias("y")), "sig").where("x < y")
-    shared = shared.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_shared"))
-    return pairs.join(shared, ["x", "y"], "left").select("x", "y", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+def _by_rarest(remaining: DataFrame, sets: DataFrame, classes: DataFrame, rule: Similarity) -> DataFrame:
+    """Pairs (x, y) of different components that share a shingle early enough among their rarest.
+
+    A shingle of many sets is dealt to several tasks.
+    """
+    described = remaining.join(classes.select("class", "n_shingles", *BITS), "class")
+    held = sets.join(remaining.select("class"), "class", "left_semi").select("class", F.explode("shingles").alias("shingle"))
+    counts = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    shared = held.join(counts, "shingle").join(described.select("class", "n_shingles"), "class")
+    own = Window.partitionBy("class")  # the shingles of one set
+    # Shingles that no other set has come first; their order does not matter.
+    alone = F.col("n_shingles") - F.count(F.lit(1)).over(own)
+    place = alone + F.row_number().over(own.orderBy("holders", "shingle")) - 1
+    early = shared.select("class", "shingle", "holders", "n_shingles", place.alias("place"))
+    early = early.where(F.col("place") <= F.floor((100 - rule.percent) * F.col("n_shingles") / 100)).drop("n_shingles")
+    early = staged(early.join(described, "class"), "jaccard_rarest")
+    parts = F.ceil(F.col("holders") / rule.dealt).cast("int")
+
+    def side(name: str) -> list[Column]:
+        return [F.col("class").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("place", "component", "n_shingles", *BITS)]]
+
+    x = early.select("shingle", F.pmod(F.xxhash64("class"), parts).cast("int").alias("part"), *side("x"))
+    y = early.select("shingle", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *side("y"))
+    a, b = F.col("x_n_shingles"), F.col("y_n_shingles")
+    behind = F.least(a - F.col("x_place"), b - F.col("y_place"))
+    enough = (100 + rule.percent) * behind >= rule.percent * (a + b)
+    apart = (F.col("x") < F.col("y")) & (F.col("x_component") != F.col("y_component"))
+    same = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.part") == F.col("r.part"))
+    return x.alias("l").join(y.alias("r"), same & apart & enough & _close("x", "y", rule)).select("x", "y").distinct()
 
 
 def _row(doc_id: str, text: str) -> Column:
@@ -443,10 +471,11 @@ def near_duplicates(
     pairs = staged(_plausible(_candidates(lanes), classes, lanes.crowded, rule), "jaccard_pairs")
     links = _verified(pairs, documents, classes, text, row, rule)
     labels = components(links)
-    rest = _plausible(_remaining(lanes, labels, classes, rule), classes, lanes.crowded, rule).join(pairs, ["x", "y"], "left_anti")
-    rest = staged(rest, "jaccard_pairs")
-    if not rest.isEmpty():
-        links = links.unionByName(_verified(rest, documents, classes, text, row, rule))
+    remaining = _remaining(lanes, labels)
+    if not remaining.isEmpty():
+        sets = _sets(remaining.select("class"), documents, classes, text, row, rule)
+        rest = staged(_by_rarest(remaining, sets, classes, rule).join(pairs, ["x", "y"], "left_anti"), "jaccard_pairs")
+        links = links.unionByName(_linked(rest, sets, rule))
         labels = components(links)
     linked = labels.join(classes.select(F.col("class").alias("node"), "doc"), "node")
     smallest = linked.groupBy("component").agg(F.min("doc").alias("first_doc"))

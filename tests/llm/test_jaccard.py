@@ -67,6 +67,29 @@ def test_all_links_of_random_families(spark, frequent):
     assert sorted(found(spark, rows, rule)) == sorted(plain(rows, rule))
 
 
+@pytest.mark.parametrize("share", [90, 240])
+def test_a_passage_that_a_third_shares(spark, share, monkeypatch):
+    """Sets that have only the passage in common are not compared with each other."""
+    rng = random.Random(share)
+    passage = [f"p{i}" for i in range(share)]
+    texts = [passage + [f"o{rng.randrange(10**7)}" for _ in range(rng.randrange(80, 260))] for _ in range(60)]
+    texts += [list(t) + ["end"] for t in texts[:6]] + [[f"u{rng.randrange(10**7)}" for _ in range(100)] for _ in range(120)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    met = []
+    by_rarest = jaccard._by_rarest
+
+    def counted(*args):
+        pairs = by_rarest(*args)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "_by_rarest", counted)
+    rule = jaccard.Similarity(frequent=2, dealt=16)
+    assert sorted(found(spark, rows, rule)) == sorted(plain(rows, rule))
+    if share == 90:
+        assert sum(met) <= 6
+
+
 @pytest.mark.parametrize("percent, width", [(50, 3), (90, 1), (60, 2)])
 def test_other_similarities(spark, percent, width):
     rng = random.Random(percent)
