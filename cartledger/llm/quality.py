@@ -3,9 +3,11 @@
 Rules look at one line at a time:
 
 * punctuation - too many of its words carry symbols or shout, or a short line
-  does not end like a sentence;
+  does not end like a sentence, in the marks of whatever script; in scripts that
+  are written without blanks four characters count like a word more;
 * navigation - its words are held apart by separators, as in menus;
-* boilerplate - it holds a phrase of consent banners and page footers.
+* boilerplate - phrases of consent banners and page footers make up a good part
+  of it; a long line that mentions one stays.
 
 Lines that fail are removed.  A document that loses too large a share of its
 word characters is rejected, and so is one that fails the base rules (too few
@@ -34,7 +36,10 @@ from cartledger.llm.pieces import LOWER, SPACES, Piece, hashes, per_text, pieces
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WIDTH = 3
 SEPARATORS = b"|>/-*"
-SENTENCE_ENDS = b".!?\"')]:;,"
+SENTENCE_ENDS = ".!?\"')]:;,。．！？；：，、…।॥؟؛۔።”’»›」』）】》"
+# Blocks of scripts without blanks between words: Thai and Lao, Burmese, Khmer, Chinese and Japanese.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+UNSPACED_WORD = 4  # characters
 BOILERPLATE = (
     "accept all cookies",
     "click here to",
@@ -57,6 +62,7 @@ class Rules:
     max_shout_percent: int = 30  # words of a line that end in two exclamation marks
     max_separator_percent: int = 20  # words of a line that are a separator
     min_sentence_words: int = 3  # a shorter line has to end like a sentence
+    min_phrase_percent: int = 20  # of a line's word characters, in phrases of boilerplate
     min_kept_percent: int = 50  # word characters that have to remain
 
 
@@ -78,8 +84,29 @@ def _marks(values: bytes) -> np.ndarray:
     return table
 
 
-_SYMBOL, _SEPARATOR, _END = _marks(SYMBOLS), _marks(SEPARATORS), _marks(SENTENCE_ENDS)
-_PHRASES = re.compile(b"|".join(re.escape(p.encode()) for p in BOILERPLATE))
+_SYMBOL, _SEPARATOR = _marks(SYMBOLS), _marks(SEPARATORS)
+_PHRASES = re.compile(b"(?=(" + b"|".join(re.escape(p.encode()) for p in BOILERPLATE) + b"))")
+_ENDS = {n: np.array(sorted(int.from_bytes(c.encode()) for c in SENTENCE_ENDS if len(c.encode()) == n)) for n in (1, 2, 3)}
+
+
+def _code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code points whose first bytes stand at the places given."""
+    b = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+    lead, one, two, three = b[at], b[at + 1] & 63, b[at + 2] & 63, b[at + 3] & 63
+    return np.select(
+        [lead < 0x80, lead < 0xE0, lead < 0xF0],
+        [lead, (lead & 31) << 6 | one, (lead & 15) << 12 | one << 6 | two],
+        (lead & 7) << 18 | one << 12 | two << 6 | three,
+    )
+
+
+def _closes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the words that end there end like a sentence."""
+    padded = np.concatenate([np.zeros(2, np.uint8), data]).astype(np.int64)
+    last = padded[ends + 1]
+    two = padded[ends] << 8 | last
+    three = padded[ends - 1] << 16 | two
+    return np.isin(last, _ENDS[1]) | np.isin(two, _ENDS[2]) | np.isin(three, _ENDS[3])
 
 
 def _lines(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
@@ -137,24 +164,29 @@ def _judge(piece: Piece, rules: Rules) -> dict[str, np.ndarray | list]:
     shouted = count((ends - starts > 2) & (data[ends - 1] == 33) & (data[ends - 2] == 33))
     separators = count((ends - starts == 1) & _SEPARATOR[data[starts]])
     last_word = np.searchsorted(line_of, np.arange(n_lines), "right") - 1
-    if len(ends):
-        closes = _END[data[ends[np.maximum(last_word, 0)] - 1]]
-    else:
-        closes = np.zeros(n_lines, bool)
+    closes = _closes(data, ends[np.maximum(last_word, 0)]) if len(ends) else np.zeros(n_lines, bool)
+    high = np.flatnonzero(data >= 0xE0)  # three bytes and more
+    point = _code_points(data, high)
+    unspaced = high[np.logical_or.reduce([(point >= low) & (point <= top) for low, top in UNSPACED])]
+    unspaced = np.bincount(np.searchsorted(line_starts, unspaced, "right") - 1, minlength=n_lines)
+    sentence_words = line_words + unspaced // UNSPACED_WORD
+
+    line_ends = np.append(line_starts[1:], len(data))
+    glyph_sum = np.concatenate([[0], np.cumsum(glyphs, dtype=np.int64)])
+    line_chars = glyph_sum[line_ends] - glyph_sum[line_starts]
+    phrases = [(m.start(), len(m[1].replace(b" ", b""))) for m in _PHRASES.finditer(LOWER[data].tobytes())]
+    spots, sizes = np.array(phrases, np.int64).reshape(-1, 2).T
+    phrase_chars = np.bincount(np.searchsorted(line_starts, spots, "right") - 1, sizes, minlength=n_lines)
 
     failed = (
         (100 * with_symbol > rules.max_symbol_percent * line_words)
         | (100 * shouted > rules.max_shout_percent * line_words)
         | (100 * separators > rules.max_separator_percent * line_words)
-        | ((line_words < rules.min_sentence_words) & ~closes)
+        | ((sentence_words < rules.min_sentence_words) & ~closes)
+        | ((phrase_chars > 0) & (100 * phrase_chars >= rules.min_phrase_percent * line_chars))
     )
-    hits = [m.start() for m in _PHRASES.finditer(LOWER[data].tobytes())]
-    failed[np.searchsorted(line_starts, hits, "right") - 1] = True
     failed &= line_words > 0
 
-    line_ends = np.append(line_starts[1:], len(data))
-    glyph_sum = np.concatenate([[0], np.cumsum(glyphs, dtype=np.int64)])
-    line_chars = glyph_sum[line_ends] - glyph_sum[line_starts]
     word_chars = per_text(glyphs, piece.bounds)
     kept_chars = per_text(np.where(failed, 0, line_chars), first_line)
     n_words = np.diff(first)

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from cartledger.llm.codes import Coding
 from cartledger.llm.licenses import NOTICES, WORD_GAP, Dice
-from cartledger.llm.quality import BOILERPLATE, Rules
+from cartledger.llm.quality import BOILERPLATE, SENTENCE_ENDS, UNSPACED, UNSPACED_WORD, Rules
 
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def quality_rules(rules: Rules = Rules()) -> str:
-    phrases = " OR ".join(f"contains({_LOWER.format('line')}, '{p}')" for p in BOILERPLATE)
+    low = _LOWER.format("line")
+    phrases = " + ".join(
+        f"(length({low}) - length(replace({low}, '{p}', ''))) // {len(p)} * {len(p.replace(' ', ''))}" for p in BOILERPLATE
+    )
+    blocks = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in UNSPACED)
+    ends = "".join(c for c in SENTENCE_ENDS if c not in "]'\"") + "\"''"
     return rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 split AS (SELECT doc_id, t, {_WORDS.format('t')} AS w FROM docs),
@@ -32,13 +37,15 @@ rated AS (
     len(list_filter(lw, lambda x: regexp_matches(x, '[#*$%&|<>]'))) AS symbols,
     len(list_filter(lw, lambda x: octet_length(encode(x)) > 2 AND x LIKE '%!!')) AS shouts,
     len(list_filter(lw, lambda x: regexp_full_match(x, '[|>/*-]'))) AS separators,
-    regexp_matches(lw[-1], '[.!?"'')\]:;,]$') AS closes
+    length(regexp_replace(line, '[^{blocks}]', '', 'g')) // {UNSPACED_WORD} AS unspaced,
+    {phrases} AS phrase_chars,
+    regexp_matches(lw[-1], '[\]{ends}]$') AS closes
   FROM lines WHERE len(lw) > 0
 ),
 verdicts AS (
   SELECT *, 100 * symbols > {rules.max_symbol_percent} * n OR 100 * shouts > {rules.max_shout_percent} * n
-    OR 100 * separators > {rules.max_separator_percent} * n OR (n < {rules.min_sentence_words} AND NOT closes)
-    OR {phrases} AS failed,
+    OR 100 * separators > {rules.max_separator_percent} * n OR (n + unspaced < {rules.min_sentence_words} AND NOT closes)
+    OR (phrase_chars > 0 AND 100 * phrase_chars >= {rules.min_phrase_percent} * chars) AS failed,
     row_number() OVER (PARTITION BY doc_id, line ORDER BY no) > 1 AS dup
   FROM rated
 ),

@@ -21,6 +21,52 @@ def test_lines_that_fail_go(spark, line):
     assert (r.kept, r.n_failed_lines, r.clean_text) == (True, 1, LONG)
 
 
+CHINESE = "河水流过老磨坊孩子们在那里一直玩到傍晚"
+JAPANESE = "川は古い水車小屋のそばを流れ、子供たちは夕方まで遊んでいた"
+HINDI = "नदी पुरानी चक्की के पास से बहती थी और बच्चे शाम तक वहाँ खेलते रहे"
+
+
+@pytest.mark.parametrize("line, end", [(CHINESE, "。"), (CHINESE, ""), (JAPANESE, "！"), (JAPANESE, ""), (HINDI, "।"), ("नदी", "।"), ("Да", "…"), ("نعم", "؟")])
+def test_prose_of_other_scripts_stays(spark, line, end):
+    text = "\n".join(f"{line}{i}{end}" for i in range(80))
+    (r,) = judged(spark, [text])
+    assert r.n_failed_lines == 0 and r.kept_chars == r.word_chars and r.clean_text == text
+    assert r.kept != r.base_failed
+
+
+@pytest.mark.parametrize("line", ["首页", "Главная", "連絡先"])
+def test_labels_of_other_scripts_go(spark, line):
+    (r,) = judged(spark, [f"{LONG}\n{line}"])
+    assert r.n_failed_lines == 1 and r.kept
+
+
+def test_a_long_line_may_mention_a_phrase(spark):
+    words = " ".join(f"word{i}" for i in range(400))
+    one, two = judged(spark, [f"{words} our privacy policy and more.", f"{words}\nSee our privacy policy here."])
+    assert one.kept and one.n_failed_lines == 0
+    assert two.kept and two.clean_text == words
+
+
+def test_odd_lines_alike_in_sql(spark):
+    import duckdb
+
+    from cartledger.llm import sql
+    from tests.parity import rows_of
+
+    odd = [CHINESE, JAPANESE + "！", HINDI, "首页", "ok…", "[x]", "it's", 'say "no"', "»da«", "enable javascript is disabled", "a 𠀀𠀁𠀂𠀃𠀄𠀅𠀆𠀇",
+           "Privacy policy and terms of use apply to all of these many words here", "see cookie policy cookie policy", "ไทยไทยไทยไทย", "ไทย"]
+    texts = [(i, "\n".join([line] * 3) + "\n" + PROSE) for i, line in enumerate(odd)] + [(99, "\n".join(odd * 5))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    text = sql.quality_rules().replace("FROM (SELECT *, n_words <", "FROM (SELECT *, n_words + 1000 <").replace("AS kept\n", "AS kept, kept_chars\n")
+    want = con.execute(text)
+    names = [d[0] for d in want.description]
+    got = quality.with_quality(spark.createDataFrame(texts, "doc_id long, text string"), rules=quality.Rules(min_words=-1000))
+    got = got.select("doc_id", *[f"quality.{c}" for c in names if c != "doc_id"])
+    assert rows_of(got.columns, got.collect()) == rows_of(names, want.fetchall())
+
+
 def test_a_document_that_loses_too_much_is_rejected(spark):
     menu = " ".join(f"entry{i} |" for i in range(400))
     (r,) = judged(spark, [f"{LONG}\n{menu}"])
