@@ -4,6 +4,7 @@
     ingest RAW ZONE STATE            take in newly arrived CSV files, then stop
     arrive RAW ZONE                  take in new CSV files by content: each counts once, replaced ones supersede
     rebuild ZONE ROOT                lines taken in, by either command, to the curated zone
+    follow ZONE ROOT                 bring a published zone up to the files taken in by "arrive"
     merge RAW ROOT                   merge raw CSV files into a published zone, as its next version
     versions ROOT                    the versions of a published zone
     vacuum ROOT [--keep N]           delete all but its last N versions and what only they use
@@ -45,6 +46,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     command("ingest", "raw", "zone", "state")
     command("arrive", "raw", "zone")
     command("rebuild", "zone", "root")
+    command("follow", "zone", "root")
     command("merge", "raw", "root").add_argument("--single-line", action="store_true", help="no line breaks in fields")
     command("versions", "root")
     command("vacuum", "root").add_argument("--keep", type=int, default=2)
@@ -79,6 +81,9 @@ def main(argv: list[str] | None = None) -> None:
         arrived = Zone(spark, a.zone).latest()
         lines = arrivals.live_lines(arrived) if arrived else ingest.ingested_lines(spark, a.zone)
         _tell(curate(lines, a.root, params))
+    elif a.command == "follow":
+        done = incremental.follow(spark, a.zone, a.root, params)
+        print(f"version: {done.version}" if done else "no lines yet")
     elif a.command == "merge":
         lines = csv_files.read_lines(spark, a.raw, multi_line=False) if a.single_line else csv_ranges.read_lines(spark, a.raw)
         done = incremental.take_in(spark, a.root, lines, params, raw=a.raw)

@@ -18,7 +18,13 @@ once, whatever their order, and however often a line is sent again.
 - *Whole tables.*  Retention, segments and prices add up the months' states, not
   lines.  Names and countries are maxima, which a batch can only raise.
 
+- *Lines withdrawn.*  When a file is replaced its old lines have to go.  Only the
+  cells they lie in, and the names and countries of their products and customers,
+  are made anew, from the lines that are left.
+
 All tables of a batch are published together (:mod:`cartledger.sinks.snapshots`).
+:func:`follow` keeps a zone in step with files taken in by content: the version of
+the lines it stands for is in its manifest, so a run that dies is simply repeated.
 """
 
 from __future__ import annotations
@@ -40,6 +46,7 @@ from cartledger.schemas import TABLES
 from cartledger.sinks.snapshots import Commit, Snapshot, Zone, cell
 from cartledger.sources.curated import MONTH
 from cartledger.staging import WRITERS, StageArea
+from cartledger.streaming import arrivals
 from cartledger.warehouse import CuratedWarehouse, Warehouse
 
 BUCKET, BUCKETS = "bucket", 4
@@ -171,6 +178,28 @@ def _raised(commit: Commit, table: str, arriving: DataFrame, key: str, value: st
     return changed
 
 
+def _lowered(commit: Commit, table: str, withdrawn: DataFrame, live: DataFrame, key: str, value: str, stage: StageArea) -> DataFrame:
+    """Make the rows of some keys of a table of maxima anew; returns the keys."""
+    keys = stage.table(withdrawn.select(key).distinct(), "withdrawn_keys")
+    old = commit.pending.read(table).join(keys, key, "left_anti")
+    again = live.join(keys, key, "left_semi")
+    commit.write(table, stage.table(old.select(key, value).unionByName(again.select(key, value)), table))
+    return keys
+
+
+def _withdraw_lines(commit: Commit, withdrawn: DataFrame, live: DataFrame, buckets: int, stage: StageArea) -> list[str]:
+    """Make the cells of withdrawn lines anew from those that are left; returns the cells."""
+    cells = _cells(_placed(withdrawn, buckets), *CELL)
+    if cells:
+        left = _in_cells(_placed(live, buckets), cells).select(*ORDER_COLUMNS)
+        commit.write("fact_orders", _fact(dedup.unique_lines(left), buckets), CELL, replaced=cells)
+    return cells
+
+
+def _fact(lines: DataFrame, buckets: int) -> DataFrame:
+    return _placed(star.fact_orders(lines), buckets, ["order_id", "product_id", "quantity", "order_date"])
+
+
 def _merge_lines(commit: Commit, valid: DataFrame, buckets: int, stage: StageArea) -> list[str]:
     """Merge valid lines into the fact table; returns the cells that changed."""
     arriving = stage.table(_placed(dedup.unique_lines(valid), buckets), "arriving")
@@ -183,8 +212,7 @@ def _merge_lines(commit: Commit, valid: DataFrame, buckets: int, stage: StageAre
     merged = stage.table(_placed(dedup.merged_lines(old, arriving.select(*ORDER_COLUMNS)), buckets), "merged")
     changed = _cells(merged.where("changed"), *CELL)
     if changed or not commit.pending.has("fact_orders"):
-        fact = star.fact_orders(_in_cells(merged, changed).select(*ORDER_COLUMNS))
-        fact = _placed(fact, buckets, ["order_id", "product_id", "quantity", "order_date"])
+        fact = _fact(_in_cells(merged, changed).select(*ORDER_COLUMNS), buckets)
         commit.write("fact_orders", fact, CELL, replaced=changed)
     return changed
 
@@ -244,21 +272,53 @@ def take_in(
     params: Params = Params(),
     rules: Sequence[Rule] | None = None,
     buckets: int = BUCKETS,
+    withdrawn: DataFrame | None = None,
+    live: DataFrame | None = None,
     **info,
 ) -> Snapshot:
     """Merge a batch of raw lines into the zone and publish the next version.
 
-    ``info`` is kept in the version's manifest.
+    ``withdrawn`` are raw lines that no longer count, and ``live`` then all that do,
+    the batch among them.  ``info`` is kept in the version's manifest.
     """
     stage = StageArea.for_job(spark, "take_in")
     try:
         commit = Zone(spark, root).begin()
         buckets = commit.pending.info.get("buckets", buckets)
         batch = Warehouse(lines, params, rules, stage=stage)
-        recountried = _raised(commit, COUNTRIES, batch.countries, "customer_id", "country", stage)
+        changed, recountried = [], None
+        if withdrawn is not None and commit.base:
+            gone, left = (Warehouse(df, params, rules, stage=stage) for df in (withdrawn, live))
+            recountried = _lowered(commit, COUNTRIES, gone.countries, left.countries, "customer_id", "country", stage)
+            _lowered(commit, NAMES, gone.product_names, left.product_names, "product_id", "product_name", stage)
+            changed = _withdraw_lines(commit, gone.valid_orders, left.valid_orders, buckets, stage)
+        raised = _raised(commit, COUNTRIES, batch.countries, "customer_id", "country", stage)
+        recountried = raised if recountried is None else recountried.unionByName(raised)
         _raised(commit, NAMES, batch.product_names, "product_id", "product_name", stage)
-        changed = _merge_lines(commit, batch.valid_orders, buckets, stage)
+        changed = sorted({*changed, *_merge_lines(commit, batch.valid_orders, buckets, stage)})
         _derive(commit, changed, recountried, params, stage)
         return commit.publish(window_start=params.window_start, window_end=params.window_end, buckets=buckets, **info)
     finally:
         stage.release()
+
+
+def follow(
+    spark: SparkSession, line_zone: str, root: str, params: Params = Params(), rules: Sequence[Rule] | None = None
+) -> Snapshot | None:
+    """Bring the zone at ``root`` up to the last version of the lines taken in at ``line_zone``.
+
+    The version it stands for must still be there: keep as many when vacuuming the lines.
+    """
+    arrived, curated = Zone(spark, line_zone), Zone(spark, root).latest()
+    last = arrived.latest()
+    if last is None:
+        return curated
+    done = curated.info.get("lines_version", 0) if curated else 0
+    if done == last.version:
+        return curated
+    before = arrived.at(done) if done else None
+    new, gone = arrivals.changes(last, before)
+    withdrawn = None if gone is None or gone.isEmpty() else gone
+    return take_in(
+        spark, root, new, params, rules, withdrawn=withdrawn, live=arrivals.live_lines(last), lines_version=last.version
+    )

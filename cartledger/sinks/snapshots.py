@@ -5,7 +5,7 @@
     root/dim_products/commit=<id>/*.parquet
 
 A table is made of cells (its partitions; a table without partitions is one
-cell), and a cell's files lie in a folder of the commit that wrote them.  Nothing
+cell), and a cell's files lie in a folder of the write they came with.  Nothing
 that exists is ever changed: a commit writes the cells it has new ones for, and a
 manifest, the last file, says for every table which commit's folder each cell is
 read from.  Its renaming into place is the commit point.  A run that dies before
@@ -143,14 +143,14 @@ class Commit:
         ``replaced`` names the cells that the frame stands for: those it has no
         row of are gone.  Without it the frame stands for the whole table.
         """
-        base = f"{self.zone.root}/{table}"
+        base, own = f"{self.zone.root}/{table}", uuid.uuid4().hex  # a table may be written again before it is published
         out = df.hint("rebalance", *[F.col(c) for c in by]) if by else df
-        out = out.withColumn(COMMIT, F.lit(self.id))
+        out = out.withColumn(COMMIT, F.lit(own))
         out.write.mode("append").partitionBy(*by, COMMIT).parquet(base)
-        written = self.zone.files.found("/".join([base, *["*"] * len(by), f"{COMMIT}={self.id}"]))
+        written = self.zone.files.found("/".join([base, *["*"] * len(by), f"{COMMIT}={own}"]))
         folders = ["/".join(uri.rsplit("/", len(by) + 1)[1:-1]) for uri, _ in written]
         kept = {} if replaced is None else {c: v for c, v in self.pending.cells.get(table, {}).items() if c not in set(replaced)}
-        self.pending.cells[table] = kept | {cell: self.id for cell in folders}
+        self.pending.cells[table] = kept | {cell: own for cell in folders}
         columns = [f for f in df.schema.fields if f.name not in by] + [df.schema[c] for c in by]
         self.pending.schemas[table] = T.StructType([T.StructField(f.name, f.dataType) for f in columns]).jsonValue()
 

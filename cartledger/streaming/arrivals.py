@@ -117,3 +117,14 @@ def _lines(commit: Commit, new: DataFrame, gone: DataFrame, batch: int) -> DataF
 def live_lines(snapshot: Snapshot) -> DataFrame:
     """All lines of the contents that some path has, as a source for the batch job."""
     return snapshot.read(LINES).select(*[f.name for f in LINE_SCHEMA.fields])
+
+
+def changes(snapshot: Snapshot, before: Snapshot | None) -> tuple[DataFrame, DataFrame | None]:
+    """Lines of contents that came since an earlier version (none: all), and lines of those that went."""
+    lines, columns = snapshot.read(LINES), [f.name for f in LINE_SCHEMA.fields]
+    if before is None:
+        return lines.select(*columns), None
+    old, now = before.read(CONTENTS).select("digest"), snapshot.read(CONTENTS).select("digest")
+    came = lines.join(now.join(old, "digest", "left_anti"), "digest", "left_semi")
+    went = before.read(LINES).join(old.join(now, "digest", "left_anti"), "digest", "left_semi")
+    return came.select(*columns), went.select(*columns)

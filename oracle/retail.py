@@ -660,6 +660,7 @@ def texts(p: Params = PARAMS, lines: str | None = None) -> dict[str, str]:
                 (3, "true"),
             )
         ),
+        "followed_files": q(ALL_TABLES, f"SELECT * FROM ({_figures()})"),
         "file_arrivals": q(
             "lines",
             f"""SELECT country, count(*) AS line_count, {_big('sum(quantity)', 'units')}, {_dbl('sum(quantity * unit_price)', 'amount')}

@@ -119,7 +119,7 @@ def test_vacuum_deletes_what_no_kept_version_names(spark, lines_of, warehouse_of
     zone = Zone(spark, root)
     stray = zone.begin()
     stray.write("dim_products", spark.range(1).selectExpr("'x' AS product_id", "'y' AS product_name", "0 AS avg_unit_price"))
-    kept = f"{root}/dim_products/commit={stray.id}"
+    kept = f"{root}/dim_products/commit={stray.pending.cells['dim_products']['']}"
     assert os.path.isdir(kept)
     deleted = snapshots.vacuum(zone, keep=1)
     assert [d for d in deleted if d.endswith(".json")] and os.path.isdir(kept)  # folders are too young
