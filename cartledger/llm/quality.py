@@ -91,8 +91,8 @@ _ENDS = {n: np.array(sorted(int.from_bytes(c.encode()) for c in SENTENCE_ENDS if
 
 def _code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The code points whose first bytes stand at the places given."""
-    b = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
-    lead, one, two, three = b[at], b[at + 1] & 63, b[at + 2] & 63, b[at + 3] & 63
+    byte = lambda k: data[np.minimum(at + k, len(data) - 1)].astype(np.int32)
+    lead, one, two, three = byte(0), byte(1) & 63, byte(2) & 63, byte(3) & 63
     return np.select(
         [lead < 0x80, lead < 0xE0, lead < 0xF0],
         [lead, (lead & 31) << 6 | one, (lead & 15) << 12 | one << 6 | two],
@@ -102,10 +102,9 @@ def _code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _closes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Whether the words that end there end like a sentence."""
-    padded = np.concatenate([np.zeros(2, np.uint8), data]).astype(np.int64)
-    last = padded[ends + 1]
-    two = padded[ends] << 8 | last
-    three = padded[ends - 1] << 16 | two
+    last, before, first = (data[np.maximum(ends - k, 0)].astype(np.int32) for k in (1, 2, 3))
+    two = before << 8 | last
+    three = first << 16 | two
     return np.isin(last, _ENDS[1]) | np.isin(two, _ENDS[2]) | np.isin(three, _ENDS[3])
 
 
