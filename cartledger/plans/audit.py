@@ -56,15 +56,46 @@ def _one_check(df: DataFrame, table: Table, check: str, column: str, violations:
     )
 
 
+def _whole(table: Table, column: str) -> bool:
+    return next(c.type for c in table.columns if c.name == column) == "INT"
+
+
+def _present(df: DataFrame, key: str) -> DataFrame:
+    """The keys of a whole-number column as bitmaps of 32,768 keys each, with the rows that have them.
+
+    Map tasks reduce their rows to bitmaps, so no key is shuffled; there are at most
+    131,072 bitmaps, whatever the number of rows.
+    """
+    known = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"))
+    return known.groupBy(F.bitmap_bucket_number("key").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias("keys"), F.count(F.lit(1)).alias("n")
+    )
+
+
 def key_check(df: DataFrame, table: Table) -> DataFrame:
     """Rows beyond the first of each key; a missing key is the business of not_null."""
     key = table.primary_key
+    if _whole(table, key):
+        return _one_check(_present(df, key), table, "primary_key", key, F.sum(F.col("n") - F.bitmap_count("keys")))
     per_key = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return _one_check(per_key, table, "primary_key", key, F.sum(F.col("n") - 1))
 
 
 def reference_check(df: DataFrame, table: Table, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """Rows whose key the parent lacks.  Keys are counted first, so the join moves keys."""
+    """Rows whose key the parent lacks.  Keys are counted first, so the join moves keys.
+
+    Of whole-number keys only those are looked at whose bitmap has a key that the
+    parent's bitmap lacks: none, if nothing is wrong.
+    """
+    if _whole(table, column):
+        here, there = _present(df, column), _present(parent, parent_key)
+        both = here.select("part", "keys", F.lit(None).cast("binary").alias("known")).unionByName(
+            there.select("part", "keys", F.col("keys").alias("known"))
+        )
+        every, known = (F.bitmap_count(F.bitmap_or_agg(c)) for c in ("keys", "known"))
+        suspect = both.groupBy("part").agg(every.alias("every"), known.alias("known")).where("every > coalesce(known, 0)")
+        part = F.bitmap_bucket_number(F.col(column).cast("long"))
+        df = df.withColumn("_part", part).join(F.broadcast(suspect.select(F.col("part").alias("_part"))), "_part", "left_semi")
     per_key = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("n"))
     orphans = per_key.join(parent.select(F.col(parent_key).alias("key")), "key", "left_anti")
     return _one_check(orphans, table, "foreign_key", column, F.sum("n"))

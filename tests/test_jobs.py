@@ -144,6 +144,23 @@ def test_audit_finds_each_kind_of_violation(spark, warehouse_of):
     }
 
 
+def test_whole_number_keys_are_checked_by_bitmaps(spark):
+    table = TABLES["customer_retention"]
+    ids = [*range(1, 70_000), 0, -1, -40_000, 2**31 - 1, -(2**31)]
+    parent = spark.createDataFrame([(i,) for i in ids], "customer_id int")
+    child = parent.unionByName(parent.limit(5)).unionByName(spark.createDataFrame([(None,)], "customer_id int"))
+
+    def orphans(df, known):
+        return audit.reference_check(df, table, "customer_id", known, "customer_id").first().violations
+
+    assert orphans(child, parent) == 0 and orphans(child, parent.limit(0)) == len(ids) + 5
+    assert orphans(child, parent.where("customer_id NOT IN (0, 5, 40000, -2147483648)")) == child.where("customer_id IN (0, 5, 40000, -2147483648)").count()
+    assert orphans(child.limit(0), parent) == 0
+    assert audit.key_check(child, TABLES["dim_customers"]).first().violations == 5
+    plan = audit.key_check(child, TABLES["dim_customers"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(customer_id" not in plan
+
+
 GOOD = "{0},A, a Thing ,2,2010-01-01 00:00:00,1.50,1.0, eire \n"
 BAD = "{0},A,,0,2010-01-01 00:00:00,1.50,1.0,eire\n{0},A,x,much,2010-01-01 00:00:00,1.50,1.0,eire\n"
 
