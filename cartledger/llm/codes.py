@@ -11,8 +11,8 @@ an entry has a least and a greatest distance; an entry whose least distance is
 above the smallest greatest distance of any entry is dominated in the whole box
 and cannot be nearest to anything in it.  The entries that are left are kept for
 the cell, and only they are evaluated exactly for the parts that lie in it.
-Distances over a box are sums over dimensions, so they are put together from a
-table of (dimension, grid step, entry).  The cells a task remembers are bounded;
+Distances over a box are sums over dimensions, so those of many new cells are put
+together from tables of (grid step, entry) per dimension.  The cells a task remembers are bounded;
 those longest unused go first.
 
 A task sends one row of sums per used entry and position; the codebooks
@@ -43,7 +43,8 @@ from cartledger.llm.session import staged
 
 SCALE = 1024
 LARGEST = 1 << 24
-_PAIRS = 1 << 18  # (part, entry) pairs evaluated at a time
+_PAIRS = 1 << 16  # (part, entry) pairs evaluated at a time
+_CELLS = 512  # cells looked at for the first time, at a time
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,7 @@ class Coding:
     parts: int = 4
     entries: int = 256  # at most 256, as an index is one byte
     rounds: int = 4
-    cell: int = 256  # side of a grid cell, in integers
+    cell: int = 64  # side of a grid cell, in integers
     cells: int = 20_000  # remembered by a task for each part position
 
 
@@ -65,43 +66,33 @@ class Cells:
         self._book, self._side, self._most = book, side, most
         self._young: dict[bytes, np.ndarray] = {}
         self._old: dict[bytes, np.ndarray] = {}
-        self._steps: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-    def _step(self, dimension: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-        """What an interval of one dimension adds to the least and greatest squared distance of each entry."""
-        known = self._steps.get((dimension, step))
-        if known is None:
-            low = step * self._side
-            below = low - self._book[:, dimension]
-            above = self._book[:, dimension] - (low + self._side - 1)
-            known = np.maximum(np.maximum(below, above), 0) ** 2, np.maximum(-below, -above) ** 2
-            if len(self._steps) < self._most:
-                self._steps[dimension, step] = known
-        return known
-
-    def _survivors(self, cell: np.ndarray) -> np.ndarray:
-        least = np.zeros(len(self._book), np.int64)
-        greatest = np.zeros(len(self._book), np.int64)
-        for dimension, step in enumerate(cell.tolist()):
-            low, high = self._step(dimension, step)
-            least += low
-            greatest += high
-        return np.flatnonzero(least <= greatest.min())
+
+    def _survivors(self, cells: np.ndarray) -> list[np.ndarray]:
+        """For each cell the entries whose least distance is not above the smallest greatest one."""
+        least = np.zeros((len(cells), len(self._book)), np.int64)
+        greatest = np.zeros_like(least)
+        for dimension, values in enumerate(self._book.T):
+            steps, place = np.unique(cells[:, dimension], return_inverse=True)
+            below = steps[:, None] * self._side - values
+            above = values - (steps[:, None] * self._side + self._side - 1)
+            least += (np.maximum(np.maximum(below, above), 0) ** 2)[place]
+            greatest += (np.maximum(-below, -above) ** 2)[place]
+        cell, entry = np.nonzero(least <= greatest.min(axis=1, keepdims=True))
+        return np.split(entry, np.cumsum(np.bincount(cell, minlength=len(cells)))[:-1])
 
     def of(self, cells: np.ndarray) -> list[np.ndarray]:
         """For each of some distinct cells the indexes of its entries, ascending."""
-        found = []
-        for cell in cells:
-            key = cell.tobytes()
-            entries = self._young.get(key)
-            if entries is None:
-                entries = self._old.get(key)
-                if entries is None:
-                    entries = self._survivors(cell)
-                if 2 * len(self._young) >= self._most:
-                    self._old, self._young = self._young, {}
-                self._young[key] = entries
-            found.append(entries)
+        keys = [cell.tobytes() for cell in cells]
+        found = [self._young.get(key, self._old.get(key)) for key in keys]
+        unknown = [i for i, entries in enumerate(found) if entries is None]
+        for at in range(0, len(unknown), _CELLS):
+            some = unknown[at : at + _CELLS]
+            for i, entries in zip(some, self._survivors(cells[some])):
+                found[i] = entries
+        for key, entries in zip(keys, found):
+            if 2 * len(self._young) >= self._most:
+                self._old, self._young = self._young, {}
+            self._young[key] = entries
         return found
 
     def nearest(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
