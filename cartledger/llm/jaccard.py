@@ -53,7 +53,7 @@ from pyspark.sql.window import Window
 
 from cartledger.llm.components import components
 from cartledger.llm.native import unused
-from cartledger.llm.pieces import LOWER, Piece, hashes, mixed, pieces, windows, words
+from cartledger.llm.pieces import LOWER, SMALL_PIECE, Piece, hashes, mixed, pieces, windows, words
 from cartledger.llm.session import staged
 
 MAX_SIZE = 1 << 40
@@ -224,7 +224,7 @@ def _described(rule: Similarity):
     @F.arrow_udf(CLASS)
     def described(texts: pa.Array) -> pa.Array:
         out = [[] for _ in CLASS.names]
-        for piece in pieces(texts):
+        for piece in pieces(texts, SMALL_PIECE):
             sets = shingle_sets(piece, rule.width)
             spares, filled = {}, {}
             for own, chosen, full, spare, _, _ in _sketches(sets, rule):
@@ -252,7 +252,7 @@ def _signatures(texts: DataFrame, rule: Similarity) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for piece in pieces(batch.column(0)):
+            for piece in pieces(batch.column(0), SMALL_PIECE):
                 sets = shingle_sets(piece, rule.width)
                 names = sets.classes()
                 new = np.zeros(len(names), bool)
@@ -361,7 +361,7 @@ def _sets(wanted: DataFrame, documents: DataFrame, classes: DataFrame, text: str
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def shingles(texts: pa.Array) -> pa.Array:
         parts = []
-        for piece in pieces(texts):
+        for piece in pieces(texts, SMALL_PIECE):
             sets = shingle_sets(piece, rule.width)
             parts.append(pa.ListArray.from_arrays(pa.array(sets.bounds.astype(np.int32)), pa.array(sets.values.view(np.int64))))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
+SMALL_PIECE = 1 << 18  # where work arrays are a large multiple of a piece
 _WIDE_WORD = 256  # longer words are hashed one at a time
 
 # The white space of all contracts (blank and U+0009 to U+000D).

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartledger.llm.pieces import LOWER, SPACES, Piece, hashes, per_text, pieces, windows, words
+from cartledger.llm.pieces import LOWER, SMALL_PIECE, SPACES, Piece, hashes, per_text, pieces, windows, words
 
 # Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -216,7 +216,7 @@ def _judge(piece: Piece, rules: Rules) -> dict[str, np.ndarray | list]:
 
 def judge(texts: pa.Array, rules: Rules = Rules()) -> pa.StructArray:
     kinds = {"base_failed": pa.bool_(), "kept": pa.bool_(), "clean_text": pa.binary()}
-    parts = [_judge(piece, rules) for piece in pieces(texts)]
+    parts = [_judge(piece, rules) for piece in pieces(texts, SMALL_PIECE)]
     columns = []
     for name in RESULT.names:
         kind = kinds.get(name, pa.int64())

@@ -21,6 +21,7 @@ def ready(spark: SparkSession) -> SparkSession:
     environment = spark.sparkContext.environment
     if _ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), _ROOT]))
+    environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # workers give freed memory back
     # Texts differ much in length: bound what a Python worker holds at a time.
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return prepare(spark)
