@@ -41,6 +41,7 @@ def to_lines(raw: DataFrame, *carried: str) -> DataFrame:
     one that is no number becomes null rather than an error.  The text of unparsed rows, when read, is carried on.
     """
     also = [CORRUPT] if CORRUPT in raw.columns else []
+    # The names in the raw file's header, as in RAW_SCHEMA.
     return raw.select(
         F.col("Invoice").alias("invoice_no"),
         F.col("StockCode").alias("stock_code"),
