@@ -98,3 +98,11 @@ def test_query_matches_the_library(spark):
 def test_long_and_short_merging_agree(ends):
     word = "therethingsareonthetable" * 5
     assert VOCABULARY._merged_long(VOCABULARY.start(word, ends)) == VOCABULARY._merged_short(VOCABULARY.start(word, ends))
+
+
+def test_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, "some text", 5, "t"), (None, None, 6, None)], "doc_id long, text string, ids int, tokens string")
+    got = bpe.with_ids(frame, PATH, into="new")
+    assert got.columns == [*frame.columns, "new"]
+    assert sorted((r["ids"], r["tokens"] or "", r["new"]["n_tokens"]) for r in got.collect()) == [(5, "t", 2), (6, "", 0)]
+    assert bpe.with_ids(frame, PATH).columns == frame.columns  # the struct takes the place of the column

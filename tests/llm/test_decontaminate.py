@@ -62,3 +62,11 @@ def test_clean_documents_stay_as_they_are(spark):
     assert kept.columns == frame.columns and sorted(r["row"] for r in kept.collect()) == [1, 1, 3]
     plans = decontaminate.contained(frame, spark.createDataFrame([(9, item)], ITEM))._jdf.queryExecution().toString()
     assert "Python" not in plans and "Arrow" not in plans
+
+
+def test_clashing_columns_do_not_change_what_is_found(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, f"a {item} b", 7, 3, "x", 2, 9)], DOC + ", item_id long, `row` int, shingle string, n_item int, id int")
+    items = spark.createDataFrame([(9, item, 5, "y", 4)], ITEM + ", doc_id long, w string, `row` int")
+    (only,) = decontaminate.contained(docs, items).collect()
+    assert (only.doc_id, only.item_id, only.n_item, only.n_shared) == (1, 9, 16, 16)

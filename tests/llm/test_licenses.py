@@ -77,3 +77,10 @@ def test_native_plan(spark):
     frame = spark.createDataFrame([(1, "x", 2, "n")], DOC + ", n int, license_id string")
     plan = licenses.scan(frame, licenses.notices(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_columns_change_nothing(spark):
+    rows = [(1, "Released under the MIT License.", 2, "n", 0.5, 3), (2, "prose", 1, "m", 0.1, 4)]
+    frame = spark.createDataFrame(rows, DOC + ", n int, license_id string, dice double, unit int")
+    got = sorted(map(tuple, licenses.scan(frame, licenses.notices(spark)).collect()))
+    assert got == sorted(map(tuple, licenses.scan(frame.select("doc_id", "text"), licenses.notices(spark)).collect())) and got

@@ -56,3 +56,8 @@ def test_long_text_empty_table_and_clashing_columns(spark):
     assert frame.columns == ["doc_id", "text", "lines", "_row"]
     assert sorted(r[3] for r in got) == sorted(f"end {i}" for i in range(10))
     assert left(spark, [], COLUMNS)[1] == []
+
+
+def test_empty_table_when_one_document_keeps_a_line(spark):
+    assert left(spark, [], keep_first=True)[1] == []
+    assert left(spark, [(1, None), (None, "")], keep_first=True)[1] == [(1, 1, 0, ""), (None, 1, 0, "")]
