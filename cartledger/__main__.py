@@ -5,7 +5,7 @@
     arrive RAW ZONE                  take in new CSV files by content: each counts once, replaced ones supersede
     rebuild ZONE ROOT                lines taken in, by either command, to the curated zone
     follow ZONE ROOT                 bring a published zone up to the files taken in by "arrive"
-    merge RAW ROOT                   merge raw CSV files into a published zone, as its next version
+    merge RAW ROOT [--refresh]       merge raw CSV files into a published zone (or replace it by them), as its next version
     versions ROOT                    the versions of a published zone
     vacuum ROOT [--keep N]           delete all but its last N versions and what only they use
     stats ROOT                       row counts and headline figures of a curated zone
@@ -47,7 +47,9 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     command("arrive", "raw", "zone")
     command("rebuild", "zone", "root")
     command("follow", "zone", "root")
-    command("merge", "raw", "root").add_argument("--single-line", action="store_true", help="no line breaks in fields")
+    merge = command("merge", "raw", "root")
+    merge.add_argument("--single-line", action="store_true", help="no line breaks in fields")
+    merge.add_argument("--refresh", action="store_true", help="the files stand for all lines")
     command("versions", "root")
     command("vacuum", "root").add_argument("--keep", type=int, default=2)
     command("stats", "root")
@@ -86,7 +88,7 @@ def main(argv: list[str] | None = None) -> None:
         print(f"version: {done.version}" if done else "no lines yet")
     elif a.command == "merge":
         lines = csv_files.read_lines(spark, a.raw, multi_line=False) if a.single_line else csv_ranges.read_lines(spark, a.raw)
-        done = incremental.take_in(spark, a.root, lines, params, raw=a.raw)
+        done = incremental.take_in(spark, a.root, lines, params, refresh=a.refresh, raw=a.raw)
         print(f"version: {done.version}")
     elif a.command == "versions":
         zone = Zone(spark, a.root)

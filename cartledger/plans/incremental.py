@@ -274,16 +274,20 @@ def take_in(
     buckets: int = BUCKETS,
     withdrawn: DataFrame | None = None,
     live: DataFrame | None = None,
+    refresh: bool = False,
     **info,
 ) -> Snapshot:
     """Merge a batch of raw lines into the zone and publish the next version.
 
+    With ``refresh`` the version stands for the batch alone, in place of all before.
     ``withdrawn`` are raw lines that no longer count, and ``live`` then all that do,
     the batch among them.  ``info`` is kept in the version's manifest.
     """
     stage = StageArea.for_job(spark, "take_in")
     try:
         commit = Zone(spark, root).begin()
+        if refresh:
+            commit.clear()
         buckets = commit.pending.info.get("buckets", buckets)
         batch = Warehouse(lines, params, rules, stage=stage)
         changed, recountried = [], None

@@ -137,6 +137,12 @@ class Commit:
             zone.spark, zone.root, version, {t: dict(c) for t, c in old.cells.items()}, dict(old.schemas), dict(old.info)
         )
 
+    def clear(self) -> None:
+        """Start from nothing instead of the base; the version stays the next one."""
+        self.pending.cells.clear()
+        self.pending.schemas.clear()
+        self.pending.info.clear()
+
     def write(self, table: str, df: DataFrame, by: Sequence[str] = (), replaced: Iterable[str] | None = None) -> None:
         """Write cells of a table, one per value of the columns ``by``.
 

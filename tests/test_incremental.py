@@ -147,3 +147,12 @@ def test_the_window_is_kept_with_the_version(spark, lines_of, tmp_path):
     window = Params(window_start="2010-01-01 00:00:00", window_end="2010-03-31 23:59:59")
     incremental.take_in(spark, str(tmp_path), lines_of([line(when="2010-02-01 00:00:00")]), window)
     assert incremental.open_zone(spark, str(tmp_path)).params.months() == ["2010-01", "2010-02", "2010-03"]
+
+
+def test_a_refresh_replaces_all_at_once(spark, lines_of, warehouse_of, tmp_path):
+    root, some = str(tmp_path), some_lines(6, 80)
+    incremental.take_in(spark, root, lines_of(some[:50]))
+    before = incremental.open_zone(spark, root)
+    incremental.take_in(spark, root, lines_of(some[50:]), refresh=True)
+    check(incremental.open_zone(spark, root), warehouse_of(some[50:]).stored())
+    check(before, warehouse_of(some[:50]).stored())
