@@ -70,7 +70,9 @@ def clustered_lookups(w: Warehouse) -> DataFrame:
     figures = [F.count(F.lit(1)).alias("line_count"), F.sum("quantity").alias("units"), total(F.col("line_total")).alias("revenue")]
     found = []
     for column in ("customer_id", "product_id"):
-        some = fact.where(F.col(column).cast("int") % LOOKED_UP == 1).groupBy(F.col(column).cast("string").alias("key"))
+        key = F.col(column).cast("string")
+        number = F.when(key.rlike("^[0-9]{1,9}$"), key.cast("int"))
+        some = fact.where(number % LOOKED_UP == 1).groupBy(key.alias("key"))
         found.append(some.agg(*figures).select(F.lit(column).alias("looked_up"), "*"))
     return found[0].unionByName(found[1])
 

@@ -647,7 +647,8 @@ def texts(p: Params = PARAMS, lines: str | None = None) -> dict[str, str]:
             "\nUNION ALL ".join(
                 f"""SELECT '{c}' AS looked_up, CAST({c} AS VARCHAR) AS key, count(*) AS line_count,
                            {_big('sum(quantity)', 'units')}, {_dbl('sum(line_total)', 'revenue')}
-                    FROM fact WHERE CAST({c} AS INTEGER) % 97 = 1 GROUP BY 2"""
+                    FROM fact WHERE CASE WHEN regexp_full_match(CAST({c} AS VARCHAR), '[0-9]{{1,9}}') THEN CAST({c} AS INTEGER) % 97 = 1 END
+                    GROUP BY 2"""
                 for c in ("customer_id", "product_id")
             ),
         ),
