@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartledger.llm.pieces import Piece, pieces
+from cartledger.llm.pieces import PIECE_BYTES, Piece, pieces
 
 NEVER = np.iinfo(np.int32).max
 SHORT_WORD = 64
@@ -307,8 +307,13 @@ def _strings(data: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.Array.from_buffers(kind, len(bounds) - 1, [None, offsets, pa.py_buffer(data.tobytes())])
 
 
-def with_ids(documents: DataFrame, vocabulary: str, text: str = "text", into: str = "tokens") -> DataFrame:
-    """Add the struct (ids, n_tokens, decoded) under the vocabulary file at this path."""
+def with_ids(
+    documents: DataFrame, vocabulary: str, text: str = "text", into: str = "tokens", piece_bytes: int = PIECE_BYTES
+) -> DataFrame:
+    """Add the struct (ids, n_tokens, decoded) under the vocabulary file at this path.
+
+    Texts are taken ``piece_bytes`` at a time: smaller pieces take less memory and more time.
+    """
     with open(vocabulary, encoding="utf-8") as file:
         shipped = documents.sparkSession.sparkContext.broadcast(file.read())  # one file of fixed size
 
@@ -316,7 +321,7 @@ def with_ids(documents: DataFrame, vocabulary: str, text: str = "text", into: st
     def encoded(texts: pa.Array) -> pa.Array:
         encoder = _encoder(shipped.value)
         columns: list[list[pa.Array]] = [[], [], []]
-        for piece in pieces(texts):
+        for piece in pieces(texts, piece_bytes):
             ids, bounds = encoder.encode(piece)
             decoded, ends = encoder.vocabulary.decode(ids, bounds)
             columns[0].append(_strings(ids.astype("<u4").view(np.uint8), bounds * 4, pa.binary()))
