@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cartledger.llm import bpe, decontaminate, jaccard, lines, quality
 from cartledger.llm.native import unused
+from cartledger.llm.pieces import SMALL_PIECE
 from cartledger.llm.session import ready, staged, table
 
 
@@ -53,7 +54,8 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of what is left, in the layout of token files."""
     ready(spark)
     into = unused(docs, "tokens")
-    encoded = bpe.with_ids(docs, public_tokenizers.path("word_bpe_49k.json"), into=into)
+    # The workers have four stages behind them: small pieces.
+    encoded = bpe.with_ids(docs, public_tokenizers.path("word_bpe_49k.json"), into=into, piece_bytes=SMALL_PIECE)
     return encoded.select("doc_id", "lang", "source", F.col(f"{into}.n_tokens").alias("n_tokens"), F.col(f"{into}.ids").alias("ids"))
 
 
