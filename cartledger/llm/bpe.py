@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartledger.llm.pieces import PIECE_BYTES, Piece, pieces
+from cartledger.llm.pieces import PIECE_BYTES, Piece, give_back, pieces
 
 NEVER = np.iinfo(np.int32).max
 SHORT_WORD = 64
@@ -240,8 +240,8 @@ class Vocabulary:
 class Encoder:
     """Encodes pieces of text and remembers the chunks it has seen."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, cached: int | None = None):
+        self.vocabulary, self.cached = vocabulary, cached
         self.chunks_seen = self.words_seen = self.words_merged = 0
         self._clear()
 
@@ -273,7 +273,7 @@ class Encoder:
         """Ids of all texts, the bounds of each, and how many ids each chunk has."""
         split = [piece.text(i).split() for i in range(len(piece))]
         chunks = [c for own in split for c in own]
-        if len(self.codes) > CACHED_CHUNKS:
+        if len(self.codes) > (CACHED_CHUNKS if self.cached is None else self.cached):
             self._clear()
         new = [c for c in dict.fromkeys(chunks) if c not in self.codes]
         if new:
@@ -293,8 +293,10 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(text: str) -> Encoder:
-    return Encoder(Vocabulary(text))
+def _encoder(text: str, cached: int | None = None) -> Encoder:
+    encoder = Encoder(Vocabulary(text), cached)
+    give_back()  # reading the file takes more than what is kept of it
+    return encoder
 
 
 ENCODED = T.StructType(
@@ -308,18 +310,24 @@ def _strings(data: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Arra
 
 
 def with_ids(
-    documents: DataFrame, vocabulary: str, text: str = "text", into: str = "tokens", piece_bytes: int = PIECE_BYTES
+    documents: DataFrame,
+    vocabulary: str,
+    text: str = "text",
+    into: str = "tokens",
+    piece_bytes: int = PIECE_BYTES,
+    cached: int | None = None,
 ) -> DataFrame:
     """Add the struct (ids, n_tokens, decoded) under the vocabulary file at this path.
 
-    Texts are taken ``piece_bytes`` at a time: smaller pieces take less memory and more time.
+    Texts are taken ``piece_bytes`` at a time, and ``cached`` chunks remembered: fewer
+    of either take less memory and more time.
     """
     with open(vocabulary, encoding="utf-8") as file:
         shipped = documents.sparkSession.sparkContext.broadcast(file.read())  # one file of fixed size
 
     @F.arrow_udf(ENCODED)
     def encoded(texts: pa.Array) -> pa.Array:
-        encoder = _encoder(shipped.value)
+        encoder = _encoder(shipped.value, cached)
         columns: list[list[pa.Array]] = [[], [], []]
         for piece in pieces(texts, piece_bytes):
             ids, bounds = encoder.encode(piece)

@@ -53,7 +53,7 @@ from pyspark.sql.window import Window
 
 from cartledger.llm.components import components
 from cartledger.llm.native import unused
-from cartledger.llm.pieces import LOWER, SMALL_PIECE, Piece, hashes, mixed, pieces, windows, words
+from cartledger.llm.pieces import LOWER, SMALL_PIECE, Piece, give_back, hashes, mixed, pieces, windows, words
 from cartledger.llm.session import staged
 
 MAX_SIZE = 1 << 40
@@ -292,6 +292,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if out.any():
             yield pa.RecordBatch.from_arrays([pa.array(rows[out, 0]), pa.array(rows[out, 1])], ["sig", "class"])
         held, told = rows[-1:], last_told
+    give_back()
 
 
 @dataclass

@@ -35,7 +35,7 @@ def _trim():
         return lambda _: 0
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Freed memory to the system after each batch: workers outlive their stage."""
     _trim()(0)
 
@@ -70,7 +70,7 @@ def pieces(array: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Piece]:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
         yield Piece(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
-    _give_back()
+    give_back()
 
 
 def spans(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
