@@ -54,8 +54,9 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of what is left, in the layout of token files."""
     ready(spark)
     into = unused(docs, "tokens")
-    # The workers have four stages behind them: small pieces.
-    encoded = bpe.with_ids(docs, public_tokenizers.path("word_bpe_49k.json"), into=into, piece_bytes=SMALL_PIECE)
+    # The workers have four stages behind them: small pieces, and fewer chunks remembered.
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe.with_ids(docs, vocabulary, into=into, piece_bytes=SMALL_PIECE, cached=100_000)
     return encoded.select("doc_id", "lang", "source", F.col(f"{into}.n_tokens").alias("n_tokens"), F.col(f"{into}.ids").alias("ids"))
 
 
