@@ -13,7 +13,8 @@ from cartledger.schemas import MONEY
 COMPLETED, CANCELLED = "Completed", "Cancelled"
 
 
-def fact_orders(unique_orders: DataFrame) -> DataFrame:
+def fact_orders(unique_orders: DataFrame, *carried: str) -> DataFrame:
+    """The fact table's columns, and those ``carried`` besides."""
     invoice = F.col("invoice_no")
     return unique_orders.select(
         invoice.alias("order_id"),
@@ -24,6 +25,7 @@ def fact_orders(unique_orders: DataFrame) -> DataFrame:
         "unit_price",
         line_total(F.col("quantity"), F.col("unit_price")).alias("line_total"),
         F.when(is_cancelling(invoice), CANCELLED).otherwise(COMPLETED).alias("order_status"),
+        *carried,
     )
 
 

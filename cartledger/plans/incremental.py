@@ -144,11 +144,11 @@ def _cells(df: DataFrame, *columns: str) -> list[str]:
     return [cell(**r.asDict()) for r in df.select(*columns).distinct().collect()]
 
 
-def _in_cells(df: DataFrame, names: Iterable[str]) -> DataFrame:
+def _in_cells(df: DataFrame, names: Iterable[str], how: str = "left_semi") -> DataFrame:
     keys = [dict(part.split("=", 1) for part in name.split("/")) for name in names]
     spark = df.sparkSession
     wanted = spark.createDataFrame([(k[MONTH], int(k[BUCKET])) for k in keys], f"{MONTH} string, {BUCKET} int")
-    return df.join(F.broadcast(wanted), CELL, "left_semi")  # as few rows as cells
+    return df.join(F.broadcast(wanted), CELL, how)  # as few rows as cells
 
 
 def _months(cells: Iterable[str]) -> list[str]:
@@ -192,29 +192,37 @@ def _withdraw_lines(commit: Commit, withdrawn: DataFrame, live: DataFrame, bucke
     cells = _cells(_placed(withdrawn, buckets), *CELL)
     if cells:
         left = _in_cells(_placed(live, buckets), cells).select(*ORDER_COLUMNS)
-        commit.write("fact_orders", _fact(dedup.unique_lines(left), buckets), CELL, replaced=cells)
+        commit.write("fact_orders", _fact(dedup.unique_lines(left), buckets), CELL, replaced=cells, gather=False)
     return cells
 
 
-def _fact(lines: DataFrame, buckets: int) -> DataFrame:
-    return _placed(star.fact_orders(lines), buckets, ["order_id", "product_id", "quantity", "order_date"])
+def _fact(lines: DataFrame, buckets: int, *carried: str) -> DataFrame:
+    """The fact table's rows, gathered by cell before the columns that follow from a line are added."""
+    when, month = F.col("order_date"), "_month"
+    narrow = _placed(lines, buckets).select(*lines.columns, (F.year(when) * 12 + F.month(when)).alias(month), BUCKET)
+    gathered = narrow.hint("rebalance", F.col(month), F.col(BUCKET))
+    return _placed(star.fact_orders(gathered, *carried), buckets, ["order_id", "product_id", "quantity", "order_date"])
 
 
-def _merge_lines(commit: Commit, valid: DataFrame, buckets: int, stage: StageArea) -> list[str]:
-    """Merge valid lines into the fact table; returns the cells that changed."""
-    arriving = stage.table(_placed(dedup.unique_lines(valid), buckets), "arriving")
-    touched = _cells(arriving, *CELL)
+def _merge_lines(commit: Commit, valid: DataFrame, buckets: int, remade: Sequence[str] = ()) -> list[str]:
+    """Merge valid lines into the fact table; returns the cells that changed.
+
+    Cells ``remade`` from all lines that count have those of the batch already.
+    """
+    arriving = _placed(valid, buckets)
+    if remade:
+        arriving = _in_cells(arriving, remade, "left_anti")
+    arriving, touched = arriving.select(*ORDER_COLUMNS), _cells(arriving, *CELL)
     if commit.pending.has("fact_orders"):
+        if not touched:
+            return []
         old = commit.pending.read("fact_orders", touched)
         old = old.withColumnsRenamed({"order_id": "invoice_no", "product_id": "stock_code"}).select(*ORDER_COLUMNS)
     else:
-        old = arriving.select(*ORDER_COLUMNS).limit(0)
-    merged = stage.table(_placed(dedup.merged_lines(old, arriving.select(*ORDER_COLUMNS)), buckets), "merged")
-    changed = _cells(merged.where("changed"), *CELL)
-    if changed or not commit.pending.has("fact_orders"):
-        fact = _fact(_in_cells(merged, changed).select(*ORDER_COLUMNS), buckets)
-        commit.write("fact_orders", fact, CELL, replaced=changed)
-    return changed
+        old = arriving.limit(0)
+    before, merged = dict(commit.pending.cells.get("fact_orders", {})), dedup.merged_lines(old, arriving)
+    commit.write("fact_orders", _fact(merged, buckets, "changed"), CELL, gather=False, mark="changed")
+    return [c for c, own in commit.pending.cells["fact_orders"].items() if before.get(c) != own]
 
 
 def _derive(commit: Commit, changed: list[str], recountried: DataFrame, params: Params, stage: StageArea) -> None:
@@ -230,7 +238,7 @@ def _derive(commit: Commit, changed: list[str], recountried: DataFrame, params:
 
     def performance() -> None:
         sales = zone.read(MONTH_PRODUCTS, months).select("product_id", _first_day().alias("month"), "units_sold", "total_revenue")
-        ranked = marts.product_performance(stage.table(sales, "product_months"), stage)
+        ranked = marts.product_performance(sales, stage)  # as cheap to read as a staged table
         commit.write("product_performance", ranked.withColumn(MONTH, year_month(F.col("month"))), [MONTH], replaced=months)
 
     def summary() -> None:
@@ -299,7 +307,7 @@ def take_in(
         raised = _raised(commit, COUNTRIES, batch.countries, "customer_id", "country", stage)
         recountried = raised if recountried is None else recountried.unionByName(raised)
         _raised(commit, NAMES, batch.product_names, "product_id", "product_name", stage)
-        changed = sorted({*changed, *_merge_lines(commit, batch.valid_orders, buckets, stage)})
+        changed = sorted({*changed, *_merge_lines(commit, batch.valid_orders, buckets, changed)})
         _derive(commit, changed, recountried, params, stage)
         return commit.publish(window_start=params.window_start, window_end=params.window_end, buckets=buckets, **info)
     finally:

@@ -133,10 +133,10 @@ def _land(w: Warehouse, lines: DataFrame, folder: str, name: str) -> None:
 def followed_files(w: Warehouse) -> DataFrame:
     """The tables of a zone that follows files of which one is replaced."""
     raw, arrived, root = (w.stage.path(name) for name in ("arriving", "arrived", "followed"))
-    part = F.coalesce("customer_id", F.lit(0)) % 3 == 0
-    wrong = w.lines.where(part).withColumns({"quantity": F.col("quantity") + 1, "country": F.lit("zzz")})
-    for lines, name in ((wrong, "a"), (w.lines.where(part), "a"), (w.lines.where(~part), "b")):
-        _land(w, w.stage.table(lines, "some_lines"), raw, name)
+    every, part = w.stage.table(w.lines, "lines"), F.coalesce("customer_id", F.lit(0)) % 3 == 0
+    wrong = every.where(part).withColumns({"quantity": F.col("quantity") + 1, "country": F.lit("zzz")})
+    for lines, name in ((wrong, "a"), (every.where(part), "a"), (every.where(~part), "b")):
+        _land(w, lines, raw, name)
         arrivals.take_in_files(w.spark, raw, arrived)
         snapshot = incremental.follow(w.spark, arrived, root, w.params, w.rules) if name == "b" or lines is wrong else None
     return _figures(incremental.SnapshotWarehouse(snapshot, w.params))

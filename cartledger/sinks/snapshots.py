@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartledger.staging import CODEC
+
 VERSIONS, COMMIT = "_versions", "commit"
 WHOLE = ""  # the one cell of a table without partitions
 
@@ -143,23 +145,48 @@ class Commit:
         self.pending.schemas.clear()
         self.pending.info.clear()
 
-    def write(self, table: str, df: DataFrame, by: Sequence[str] = (), replaced: Iterable[str] | None = None) -> None:
+    def write(
+        self,
+        table: str,
+        df: DataFrame,
+        by: Sequence[str] = (),
+        replaced: Iterable[str] | None = None,
+        gather: bool = True,
+        mark: str | None = None,
+    ) -> None:
         """Write cells of a table, one per value of the columns ``by``.
 
         ``replaced`` names the cells that the frame stands for: those it has no
-        row of are gone.  Without it the frame stands for the whole table.
+        row of are gone.  Without it the frame stands for the whole table.  Rows
+        of a cell are gathered from all tasks, unless the frame comes gathered.
+        ``mark`` names a boolean column that is no part of the table: cells in which
+        no row has it stay as they were.
         """
         base, own = f"{self.zone.root}/{table}", uuid.uuid4().hex  # a table may be written again before it is published
-        out = df.hint("rebalance", *[F.col(c) for c in by]) if by else df
+        out = df.hint("rebalance", *[F.col(c) for c in by]) if by and gather else df
         out = out.withColumn(COMMIT, F.lit(own))
-        out.write.mode("append").partitionBy(*by, COMMIT).parquet(base)
+        out.write.mode("append").option("compression", CODEC).partitionBy(*by, COMMIT).parquet(base)
         written = self.zone.files.found("/".join([base, *["*"] * len(by), f"{COMMIT}={own}"]))
-        folders = ["/".join(uri.rsplit("/", len(by) + 1)[1:-1]) for uri, _ in written]
+        folders = {"/".join(uri.rsplit("/", len(by) + 1)[1:-1]): uri for uri, _ in written}
+        if mark is not None:
+            folders = self._marked(base, folders, df, by, mark)
+            replaced = folders
         kept = {} if replaced is None else {c: v for c, v in self.pending.cells.get(table, {}).items() if c not in set(replaced)}
         self.pending.cells[table] = kept | {cell: own for cell in folders}
-        columns = [f for f in df.schema.fields if f.name not in by] + [df.schema[c] for c in by]
+        columns = [f for f in df.schema.fields if f.name not in (*by, mark)] + [df.schema[c] for c in by]
         self.pending.schemas[table] = T.StructType([T.StructField(f.name, f.dataType) for f in columns]).jsonValue()
 
+    def _marked(self, base: str, folders: dict[str, str], df: DataFrame, by: Sequence[str], mark: str) -> dict[str, str]:
+        """Those of the written cells in which a row is marked; the others are deleted again."""
+        if not folders:
+            return folders
+        columns = T.StructType([df.schema[c] for c in (*by, mark)])
+        rows = self.zone.spark.read.schema(columns).option("basePath", base).parquet(*folders.values())
+        marked = {cell(**r.asDict()) for r in rows.where(mark).select(*by).distinct().collect()}
+        for name in folders.keys() - marked:
+            self.zone.files.delete(folders[name])
+        return {name: uri for name, uri in folders.items() if name in marked}
+
     def publish(self, **info) -> Snapshot:
         """The commit point."""
         snapshot, files = self.pending, self.zone.files

@@ -85,7 +85,8 @@ def take_in_files(spark: SparkSession, raw_folder: str, root: str) -> Snapshot:
         new = stage.table(missing, "new_contents")
         gone = stage.table(loaded.join(live, "digest", "left_anti"), "gone_contents")
         contents = loaded.join(live, "digest", "left_semi").unionByName(new.select("digest", F.lit(batch).cast("long").alias(BATCH)))
-        commit.write(LINES, _lines(commit, new, gone, batch), [BATCH], replaced=_touched(gone, batch))
+        # A task reads a range of files, or of one batch's lines: its rows lie in few batches as they are.
+        commit.write(LINES, _lines(commit, new, gone, batch), [BATCH], replaced=_touched(gone, batch), gather=False)
         commit.write(CONTENTS, stage.table(contents, "contents"))
         commit.write(FILES, files)
         return commit.publish()
@@ -105,7 +106,7 @@ def _lines(commit: Commit, new: DataFrame, gone: DataFrame, batch: int) -> DataF
     if locations:
         raw = csv_ranges.read_raw(spark, locations, with_file=True)
         keys = new.select(csv_ranges.file_key(F.col("path")).alias("file"), "digest")
-        rows = to_lines(raw.join(keys, "file"), "digest").withColumn(BATCH, F.lit(batch).cast("long"))
+        rows = to_lines(raw.join(F.broadcast(keys), "file"), "digest").withColumn(BATCH, F.lit(batch).cast("long"))
     else:
         rows = spark.createDataFrame([], T.StructType([*LINE_SCHEMA.fields, *[T.StructField(c, T.StringType()) for c in (CORRUPT, "digest")], T.StructField(BATCH, T.LongType())]))
     if commit.pending.has(LINES):
