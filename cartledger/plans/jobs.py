@@ -145,8 +145,8 @@ def followed_files(w: Warehouse) -> DataFrame:
 def file_arrivals(w: Warehouse) -> DataFrame:
     """Lines per country after files came, came again under other names, and were replaced."""
     raw, zone = w.stage.path("arriving"), w.stage.path("arrived")
-    part = F.coalesce("customer_id", F.lit(0)) % 3
-    first, second, third = (w.stage.table(w.lines.where(part == i), "some_lines") for i in range(3))
+    every, part = w.stage.table(w.lines, "lines"), F.coalesce("customer_id", F.lit(0)) % 3
+    first, second, third = (every.where(part == i) for i in range(3))
     wrong = second.withColumn("quantity", F.col("quantity") + 1)
     for landings in ([(first, "a"), (wrong, "b")], [(first, "again"), (second, "b")], [(third, "c"), (third, "copy")]):
         for lines, name in landings:
