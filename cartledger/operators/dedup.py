@@ -44,11 +44,12 @@ def _preferred(of: Column | None = None) -> Column:
 
 
 def _unpacked(kept: str) -> list[Column]:
-    price = F.col(kept) % _number(2 * _PRICES)
-    customer = ((F.col(kept) - price) / _number(2 * _PRICES)).cast("long") - _CUSTOMERS
+    number = F.call_function("div", F.col(kept), _number(2 * _PRICES))
+    price = (F.col(kept) - number.cast("decimal(12,0)") * F.lit(str(2 * _PRICES)).cast("decimal(16,0)")).cast("long")
+    customer = number - _CUSTOMERS
     return [
         F.when(customer < _CUSTOMERS, customer).cast("int").alias("customer_id"),
-        F.when(price != 0, ((price.cast("long") - _PRICES).cast("decimal(18,0)") / 10_000).cast(PRICE)).alias("unit_price"),
+        F.when(price != 0, ((price - _PRICES).cast("decimal(18,0)") / 10_000).cast(PRICE)).alias("unit_price"),
     ]
 
 

@@ -44,7 +44,8 @@ def raw_csv_ranges(w: Warehouse) -> DataFrame:
 
 
 def _curate(w: Warehouse) -> Curated:
-    return curate(w.lines, w.stage.path("curated"), w.params, w.rules)
+    """Lines are read by the fact table, the counts and both dimensions, so they are computed first."""
+    return curate(w.stage.table(w.lines, "lines"), w.stage.path("curated"), w.params, w.rules)
 
 
 def curated_write(w: Warehouse) -> DataFrame:

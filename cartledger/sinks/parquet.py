@@ -11,6 +11,7 @@ from cartledger.functions.dates import year_month
 from cartledger.operators import clustering
 from cartledger.schemas import TABLES
 from cartledger.sources.curated import FOLDERS, MONTH
+from cartledger.staging import CODEC
 
 
 CLUSTERED = ["customer_id", "product_id"]
@@ -31,7 +32,7 @@ def write_parquet(
     if month_of is not None:
         writer_of = df.withColumn(MONTH, year_month(F.col(month_of)))
         writer_of = clustering.clustered(writer_of, MONTH, clustered) if clustered else writer_of.hint("rebalance", F.col(MONTH))
-    writer = writer_of.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer = writer_of.write.mode("overwrite").options(partitionOverwriteMode="static", compression=CODEC)
     if month_of is not None:
         writer = writer.partitionBy(MONTH)
     if row_group_bytes is not None:

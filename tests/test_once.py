@@ -41,6 +41,12 @@ def test_file_arrivals_compute_their_lines_once(counted):
     assert seen.value == len(SOME)
 
 
+def test_curated_tables_compute_their_lines_once(counted):
+    w, seen = counted
+    assert rows(jobs.curated_tables(w))
+    assert seen.value == len(SOME)
+
+
 def test_cells_made_anew_are_not_merged_with_the_batch_again(spark, lines_of, warehouse_of, tmp_path, monkeypatch):
     raw, arrived, root = (str(tmp_path / name) for name in ("raw", "arrived", "zone"))
     w, merges = warehouse_of(SOME), []
