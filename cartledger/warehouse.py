@@ -153,8 +153,11 @@ class Warehouse:
         return {"fact_orders": w.fact, **w.stage.tables(others)}
 
     def settle(self) -> "Warehouse":
-        """Compute the fact table once, so that several tables can be built from it."""
-        return self.on_fact(self.stage.table(self.fact, "fact"))
+        """Compute lines, fact table and countries once, so that several tables can be built from them."""
+        source = Warehouse(self.stage.table(self.lines, "lines"), self.params, self.rules, self._segmenter, self.stage)
+        settled = source.on_fact(self.stage.table(source.fact, "fact"))
+        settled.countries = self.stage.table(source.countries, "countries")
+        return settled
 
     def on_fact(self, fact: DataFrame) -> "Warehouse":
         """The same warehouse over a fact table that has been written."""

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartledger.operators import dedup
-from cartledger.plans import incremental, jobs
+from cartledger.plans import audit, incremental, jobs
 from cartledger.sinks import snapshots
 from cartledger.streaming import arrivals
 from cartledger.warehouse import Warehouse
@@ -47,6 +47,12 @@ def test_curated_tables_compute_their_lines_once(counted):
     assert seen.value == len(SOME)
 
 
+def test_audited_tables_compute_their_lines_once(counted):
+    w, seen = counted
+    assert rows(audit.constraint_audit(w.stored().get))
+    assert seen.value == len(SOME)
+
+
 def test_cells_made_anew_are_not_merged_with_the_batch_again(spark, lines_of, warehouse_of, tmp_path, monkeypatch):
     raw, arrived, root = (str(tmp_path / name) for name in ("raw", "arrived", "zone"))
     w, merges = warehouse_of(SOME), []
