@@ -1,7 +1,7 @@
 """BPE encoding and decoding: speculate and verify.
 
-A text falls into chunks at white space, and each distinct chunk is encoded once
-per worker.  Its words are encoded together with many others:
+A text falls into chunks at white space, and a worker remembers the chunks it has
+met lately.  The words of new chunks are encoded together with many others:
 
 1. *speculate*: greedy longest match proposes tokens;
 2. *verify*: one vectorised check over all adjacent pairs of proposed tokens
@@ -9,7 +9,8 @@ per worker.  Its words are encoded together with many others:
    the two.  If it would not, for every pair of a word, the proposal is exactly
    what merging gives, because merges inside one token do not see beyond the
    neighbouring one;
-3. only words with a failing pair are merged symbol by symbol.
+3. only words with a failing pair are merged symbol by symbol, all words at once:
+   a round merges in each the pair of lowest rank.
 
 The vocabulary is a public tokenizer file whose path is a parameter; the driver
 reads it and ships it to the tasks.  Normalisation and pre-splitting of chunks
@@ -31,6 +32,7 @@ import heapq
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,8 @@ from cartledger.llm.pieces import PIECE_BYTES, Piece, give_back, pieces
 
 NEVER = np.iinfo(np.int32).max
 SHORT_WORD = 64
-CACHED_CHUNKS = 200_000  # per worker; the cache starts again beyond that
+WORDS_AT_ONCE = 1 << 14
+CACHED_CHUNKS = 200_000  # per worker: about as many are remembered, those met lately
 # How the vocabulary's format splits plain ASCII, and its end-of-word mark.
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
@@ -81,10 +84,12 @@ class Vocabulary:
             self.left[made], self.right[made], self.made_at[made] = x, y, rank
             pairs[rank] = x * size + y
             self.rank_of[x * size + y], self.made[rank] = rank, made
-        order = np.argsort(pairs)
-        self.pair_keys, self.pair_ranks = pairs[order], order.astype(np.int32)
-
-        self.made = self.made.tolist()
+        self._place(pairs)
+        self.made_ids, self.made = self.made.astype(np.int32), self.made.tolist()
+        symbols = {name.removesuffix(self.end): number for name, number in self.ids.items() if len(name.removesuffix(self.end)) == 1}
+        self.symbols = np.full((2, max(map(ord, symbols), default=0) + 2), -1, np.int32)  # inside a word, at its end
+        for symbol in symbols:
+            self.symbols[:, ord(symbol)] = self.ids.get(symbol, -1), self.ids.get(symbol + self.end, -1)
         # Only tokens that merging gives for their own symbols may be proposed.
         self.inner: dict[str, int] = {}
         self.final: dict[str, int] = {}
@@ -94,9 +99,27 @@ class Vocabulary:
             if bare and (self.made_at[number] < 0 or self.merged(bare, ends) == [number]):
                 (self.final if ends else self.inner)[bare] = number
         self.longest = max(map(len, self.final))
-        self.reach: dict[str, int] = {}  # the longest inner token by its first two symbols
+        self.reach: dict[str, int] = {}  # the longest inner token by its first three symbols
         for bare in self.inner:
-            self.reach[bare[:2]] = max(self.reach.get(bare[:2], 1), len(bare))
+            if len(bare) > 2:
+                self.reach[bare[:3]] = max(self.reach.get(bare[:3], 3), len(bare))
+        self.letters_alone = not any(content.isalpha() for content in self.special)
+
+    def _place(self, pairs: np.ndarray) -> None:
+        """A hash table from pairs to ranks, at most a quarter full: equal places are settled one further on."""
+        self.place_bits = max(4, (4 * len(pairs)).bit_length())
+        self.pair_keys = np.full(1 << self.place_bits, -1, np.int64)
+        self.pair_ranks = np.full(1 << self.place_bits, NEVER, np.int32)
+        at, left = self._places(pairs), np.arange(len(pairs))
+        while len(left):
+            free = self.pair_keys[at] < 0
+            self.pair_keys[at[free]] = pairs[left[free]]  # of several that want it one gets it
+            own = self.pair_keys[at] == pairs[left]
+            self.pair_ranks[at[own]] = left[own]
+            left, at = left[~own], (at[~own] + 1) % len(self.pair_keys)
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.place_bits)).view(np.int64)
 
     def start(self, word: str, ends: bool = True) -> list[int]:
         symbols = list(word)
@@ -122,6 +145,63 @@ class Vocabulary:
                 ranks[i - 1] = rank_of(tokens[i - 1] * size + tokens[i], NEVER)
         return tokens
 
+    def merged_words(self, words: list[str]) -> list[list[int]]:
+        """:meth:`merged` of many words: a round merges in every word its pair of lowest rank, the leftmost first."""
+        out: list[list[int]] = [[]] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for i in np.flatnonzero(sizes > SHORT_WORD):
+            out[i] = self._merged_long(self.start(words[i]))
+        order = np.argsort(sizes, kind="stable")
+        order = order[(sizes[order] > 0) & (sizes[order] <= SHORT_WORD)]
+        for width in range(4, SHORT_WORD + 4, 4):  # words of similar length, so that few places are empty
+            some = order[(sizes[order] > width - 4) & (sizes[order] <= width)]
+            for k in range(0, len(some), WORDS_AT_ONCE):
+                self._merge_rows(words, some[k : k + WORDS_AT_ONCE], sizes, width, out)
+        return out
+
+    def _merge_rows(self, words: list[str], which: np.ndarray, sizes: np.ndarray, width: int, out: list[list[int]]) -> None:
+        if not len(which):
+            return
+        points = np.frombuffer("".join([words[i] for i in which]).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(sizes[which])
+        last = np.zeros(len(points), np.int64)
+        last[ends - 1] = 1
+        flat = self.symbols[last, np.minimum(points, self.symbols.shape[1] - 1)]
+        # Rows of equal width, filled from the left; symbols the vocabulary does not have are passed over.
+        row, known = np.repeat(np.arange(len(which)), sizes[which]), flat >= 0
+        row, flat = row[known], flat[known]
+        counts = np.bincount(row, minlength=len(which))
+        at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        tokens = np.full((len(which), width), -1, np.int32)
+        tokens[row, at] = flat
+        ranks = np.full((len(which), width), NEVER, np.int32)  # of each token with the next; the last place stays empty
+        ranks[:, :-1][tokens[:, 1:] >= 0] = self.ranks(tokens[:, :-1][tokens[:, 1:] >= 0], tokens[:, 1:][tokens[:, 1:] >= 0])
+        rows = which
+        while True:
+            here = np.arange(len(rows))
+            first = ranks.argmin(1)
+            low = ranks[here, first]
+            done = low == NEVER
+            if done.any():
+                for i, own in zip(rows[done].tolist(), tokens[done].tolist()):
+                    out[i] = own[: own.index(-1)] if own[-1] < 0 else own
+                rows, tokens, ranks, first, low = (v[~done] for v in (rows, tokens, ranks, first, low))
+                here = here[: len(rows)]
+            if not len(rows):
+                return
+            # The pair becomes one token; what stands behind it moves up.
+            stay = np.ones(tokens.shape, bool)
+            stay[here, first + 1] = False
+            tokens = tokens[stay].reshape(len(rows), -1)
+            tokens[here, first] = self.made_ids[low]
+            stay[here, first + 1], stay[here, first] = True, False
+            ranks = ranks[stay].reshape(len(rows), -1)
+            for spot in (first - 1, first):
+                there = np.flatnonzero((spot >= 0) & (spot < tokens.shape[1] - 1))
+                spots = spot[there]
+                a, b = tokens[there, spots], tokens[there, spots + 1]
+                ranks[there, spots] = np.where(b >= 0, self.ranks(a, b), NEVER)
+
     def _merged_long(self, tokens: list[int]) -> list[int]:
         """The same with a queue, for words whose length makes looking through all pairs slow."""
         n = len(tokens)
@@ -151,7 +231,7 @@ class Vocabulary:
             if n - at <= self.longest and (token := final(word[at:])) is not None:
                 out.append(token)
                 break
-            stop = min(at + reach(word[at : at + 2], 1), n - 1)
+            stop = min(at + reach(word[at : at + 3], 2), n - 1)
             while (token := inner(word[at:stop])) is None:
                 stop -= 1
             out.append(token)
@@ -160,8 +240,17 @@ class Vocabulary:
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = a.astype(np.int64) * self.size + b
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NEVER)
+        at = self._places(keys)
+        found = self.pair_keys[at]
+        out = np.where(found == keys, self.pair_ranks[at], NEVER)
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):
+            spot = (at[left] + 1) % len(self.pair_keys)
+            found, at[left] = self.pair_keys[spot], spot
+            own = found == keys[left]
+            out[left[own]] = self.pair_ranks[spot[own]]
+            left = left[~own & (found >= 0)]
+        return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves the border between tokens a and b alone.
@@ -199,12 +288,14 @@ class Vocabulary:
         spots = np.flatnonzero(inside)
         wrong = spots[~self.compatible(flat[spots], flat[spots + 1])]
         failed = np.unique(np.searchsorted(ends, wrong, "right"))
-        for i in failed:
-            out[i] = self.merged(words[i])
+        for i, tokens in zip(failed.tolist(), self.merged_words([words[i] for i in failed])):
+            out[i] = tokens
         return out, len(failed)
 
     def split(self, chunk: bytes) -> list[str | int]:
         """Words (as byte symbols) and special tokens of a chunk without white space."""
+        if chunk.isalpha() and self.letters_alone:  # ASCII letters are one word
+            return [chunk.lower().decode()]
         parts = [chunk] if self.special_pattern is None else self.special_pattern.split(chunk)
         out: list[str | int] = []
         for part in parts:
@@ -237,31 +328,65 @@ class Vocabulary:
         return data[keep], kept
 
 
+class _Chunks:
+    """Chunks by number, and their ids one after the other."""
+
+    def __init__(self):
+        self.codes: dict[bytes, int] = {}
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, new: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def of(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some chunks, and how many each has."""
+        codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
+        firsts = self.ends[codes]
+        sizes = self.ends[codes + 1] - firsts
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(firsts - (ends - sizes), sizes)], sizes
+
+
 class Encoder:
-    """Encodes pieces of text and remembers the chunks it has seen."""
+    """Encodes pieces of text and remembers the chunks and words it has seen.
+
+    Both are remembered in two halves: when the newer is full it becomes the
+    older, whose entries move on as they are met again.  Frequent ones stay.
+    """
 
     def __init__(self, vocabulary: Vocabulary, cached: int | None = None):
         self.vocabulary, self.cached = vocabulary, cached
         self.chunks_seen = self.words_seen = self.words_merged = 0
-        self._clear()
+        self.newer, self.older = _Chunks(), _Chunks()
+        self.words: dict[str, bytes] = {}  # the ids as bytes
+        self.older_words: dict[str, bytes] = {}
 
-    def _clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
-        self.flat: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
+    def _full(self, number: int) -> bool:
+        return 2 * number > (CACHED_CHUNKS if self.cached is None else self.cached)
 
     def _learn(self, new: list[bytes]) -> None:
+        if self._full(len(self.words)):
+            self.words, self.older_words = {}, self.words
         split = [self.vocabulary.split(chunk) for chunk in new]
-        words = list(dict.fromkeys(w for parts in split for w in parts if isinstance(w, str)))
-        tokens, merged = self.vocabulary.encode_words(words)
-        known = dict(zip(words, tokens))
-        ids = [[t for p in parts for t in (known[p] if isinstance(p, str) else (p,))] for parts in split]
-        for chunk in new:
-            self.codes[chunk] = len(self.codes)
-        self.flat.append(np.array([t for own in ids for t in own], np.uint32))
-        self.sizes.append(np.array([len(own) for own in ids], np.int64))
+        words = self.words
+        missing = [w for w in dict.fromkeys(chain.from_iterable(split)) if isinstance(w, str) and w not in words]
+        for w in missing:
+            if (ids := self.older_words.get(w)) is not None:
+                words[w] = ids
+        missing = [w for w in missing if w not in words]
+        tokens, merged = self.vocabulary.encode_words(missing)
+        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens))) * 4
+        data = np.fromiter(chain.from_iterable(tokens), "<u4").tobytes()
+        first = 0
+        for w, end in zip(missing, ends.tolist()):
+            words[w], first = data[first:end], end
+        ids = [b"".join([words[p] if isinstance(p, str) else p.to_bytes(4, "little") for p in parts]) for parts in split]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.newer.add(new, np.frombuffer(b"".join(ids), "<u4"), sizes)
         self.chunks_seen += len(new)
-        self.words_seen += len(words)
+        self.words_seen += len(missing)
         self.words_merged += merged
 
     def encode(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
@@ -273,23 +398,16 @@ class Encoder:
         """Ids of all texts, the bounds of each, and how many ids each chunk has."""
         split = [piece.text(i).split() for i in range(len(piece))]
         chunks = [c for own in split for c in own]
-        if len(self.codes) > (CACHED_CHUNKS if self.cached is None else self.cached):
-            self._clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in self.codes]
-        if new:
+        if self._full(len(self.newer.codes)):
+            self.newer, self.older = _Chunks(), self.newer
+        missing = [c for c in dict.fromkeys(chunks) if c not in self.newer.codes]
+        if again := [c for c in missing if c in self.older.codes]:
+            self.newer.add(again, *self.older.of(again))
+        if new := [c for c in missing if c not in self.older.codes]:
             self._learn(new)
-        if len(self.flat) > 1:
-            self.flat, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.sizes)]
+        ids, own = self.newer.of(chunks)
         counts = np.cumsum([0, *map(len, split)])
-        if not chunks:
-            return np.zeros(0, np.uint32), counts, np.zeros(0, np.int64)
-        codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
-        flat, sizes = self.flat[0], self.sizes[0]
-        firsts = np.cumsum(sizes) - sizes
-        own = sizes[codes]
-        ends = np.cumsum(own)
-        ids = flat[np.arange(int(ends[-1])) + np.repeat(firsts[codes] - (ends - own), own)]
-        return ids, np.concatenate([[0], ends])[counts], own
+        return ids, np.concatenate([[0], np.cumsum(own)])[counts], own
 
 
 @lru_cache(maxsize=2)

@@ -72,6 +72,31 @@ def test_a_forgotten_cache_changes_nothing(monkeypatch):
         assert encoded(texts, encoder) == [expected(t) for t in texts]
 
 
+def test_frequent_chunks_and_words_are_learned_once():
+    encoder = bpe.Encoder(VOCABULARY, cached=20)
+    for n in range(30):
+        texts = [f"thntblere, oftenseen {' '.join(f'rare{n}x{i}' for i in range(9))}", "thntblere."]
+        assert encoded(texts, encoder) == [expected(t) for t in texts]
+    assert len(encoder.newer.codes) + len(encoder.older.codes) <= 40 and len(encoder.words) + len(encoder.older_words) <= 60
+    assert encoder.chunks_seen == 3 + 30 * 9  # the three that each piece has were learned with the first
+    assert encoder.words_seen <= 20  # "rare", "x" and the digits stand in every piece
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("thenigaorsdl'é0", min_size=1, max_size=80), max_size=30))
+def test_merging_many_words_is_merging_each(words):
+    symbols = ["".join(bpe_symbols(w)) for w in words]
+    assert VOCABULARY.merged_words([s for s in symbols if s]) == [VOCABULARY.merged(s) for s in symbols if s]
+
+
+def test_ranks_are_those_of_the_file():
+    pairs = list(VOCABULARY.rank_of.items())
+    a, b = (np.array([f(key, VOCABULARY.size) for key, _ in pairs]) for f in (lambda k, n: k // n, lambda k, n: k % n))
+    assert VOCABULARY.ranks(a, b).tolist() == [rank for _, rank in pairs]
+    none = VOCABULARY.ranks(b, a)
+    assert all(rank == VOCABULARY.rank_of.get(int(y) * VOCABULARY.size + int(x), bpe.NEVER) for x, y, rank in zip(a, b, none))
+
+
 def test_frames(spark):
     long = " ".join(f"word{i} thntblere" for i in range(100_000))
     rows = [(1, None, "t"), (2, "", "t"), (3, "Same text", "t"), (3, "Same text", "t"), (None, long, None)]
