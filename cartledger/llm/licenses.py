@@ -29,6 +29,9 @@ from cartledger.llm.native import ascii_lower
 from cartledger.llm.session import staged
 
 WORD_GAP = "[\\x00-\\x09\\x0B-/:-@\\[-`{-\\x{BF}\\x{2000}-\\x{206F}\\x{3000}-\\x{303F}]+"
+_ONE = WORD_GAP[:-1]
+GAP = f"(?! (?!{_ONE})){WORD_GAP}"  # but for a blank alone, which is to become one anyway
+LOOKED_AT = 4  # times as many words as a matching unit has bigrams tell whether a unit is too long
 MANY = 2**31 - 1
 PARAGRAPH_GAP = "\n(?: *\n)+"
 
@@ -98,24 +101,29 @@ def _spread(worded: DataFrame, least: int, most: int) -> DataFrame:
     """One row (gram, n) per distinct word bigram (as a 64-bit hash) of each ``w`` whose number n of them lies within the bounds.
 
     Words and bigrams are steps of their own and no filter stands on them, so
-    each is computed once; units out of bounds spread nothing.
+    each is computed once; units out of bounds spread nothing.  All but the first
+    of d different words end a bigram of their own, so there are at least d - 1 of
+    those: long units are known by their first words and their bigrams not made.
     """
+    if most < MANY:
+        different = F.size(F.array_distinct(F.slice("w", 1, LOOKED_AT * (most + 2))))
+        worded = worded.withColumn("w", F.when((F.size("w") > least) & (different <= most + 1), F.col("w")).otherwise(F.slice("w", 1, 0)))
     left = F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))
     pairs = F.zip_with(left, F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
     found = worded.withColumn("grams", F.array_distinct(pairs)).drop("w")
-    n = F.size("grams")
+    n = F.coalesce(F.size("grams"), F.lit(0))  # never null, or a join on it would filter the units by an n of its own
     return found.select(
         *[c for c in found.columns if c != "grams"], n.alias("n"), F.explode(F.when(n.between(least, most), F.col("grams"))).alias("gram")
     )
 
 
 def _plain(text: Column) -> Column:
-    """Gaps as single blanks, line breaks kept; the pattern runs once over the whole text."""
-    return F.regexp_replace(text, WORD_GAP, " ")
+    """A-Z lowered, gaps as single blanks, line breaks kept; the pattern runs once over the whole text."""
+    return F.regexp_replace(ascii_lower(text), GAP, " ")
 
 
 def _words(plain: Column) -> Column:
-    return F.transform(F.filter(F.split(F.replace(plain, F.lit("\n"), F.lit(" ")), " "), lambda w: w != ""), ascii_lower)
+    return F.array_remove(F.split(F.replace(plain, F.lit("\n"), F.lit(" ")), " "), "")
 
 
 def _units(documents: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -84,3 +84,25 @@ def test_clashing_columns_change_nothing(spark):
     frame = spark.createDataFrame(rows, DOC + ", n int, license_id string, dice double, unit int")
     got = sorted(map(tuple, licenses.scan(frame, licenses.notices(spark)).collect()))
     assert got == sorted(map(tuple, licenses.scan(frame.select("doc_id", "text"), licenses.notices(spark)).collect())) and got
+
+
+def test_units_are_cut_into_words_once(spark):
+    docs = spark.createDataFrame([(1, "Licensed under the MIT License.")], DOC)
+    plan = licenses.scan(docs, licenses.notices(spark))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("zip_with" in line or "split(" in line for line in filters)
+
+
+def test_long_units_of_few_different_words(spark):
+    templates = [("ab", "a b a"), ("abc", "a b c d")]
+    docs = [(1, "a b " * 2000), (2, " ".join(f"w{i}" for i in range(3000))), (3, "a b c d " * 900 + "\nx"), (4, "A  b, c-d\n\ny"), (5, "a")]
+    assert found(spark, docs, templates) == plain(docs, templates) != []
+
+
+def test_gaps_become_one_blank(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("aÉ \t.-\n\xa0 、日", k=rng.randrange(12))) for _ in range(500)]
+    replaced = "regexp_replace(text, '{}', ' ')"
+    both = [spark_pattern.replace("\\", "\\\\").replace("'", "\\'") for spark_pattern in (licenses.WORD_GAP, licenses.GAP)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr(*[f"{replaced.format(p)} AS c{i}" for i, p in enumerate(both)])
+    assert all(r.c0 == r.c1 for r in rows.collect())
