@@ -16,6 +16,14 @@ from cartledger.llm.pieces import SMALL_PIECE
 from cartledger.llm.session import ready, staged, table
 
 
+BATCH_BYTES = 2 << 20  # of texts at a time: workers hold a multiple of it, and stay from stage to stage
+
+
+def _lean(spark: SparkSession) -> None:
+    ready(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def _retexted(docs: DataFrame, columns: list[str], text) -> DataFrame:
     """The columns of documents with another text and its length."""
     docs = docs.withColumn("text", text)
@@ -26,13 +34,13 @@ def _retexted(docs: DataFrame, columns: list[str], text) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line rules clean the text; documents that they reject go."""
-    ready(spark)
+    _lean(spark)
     return _retexted(quality.cleaned(docs), docs.columns, F.col("text"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A line of ten documents or more stays in one of them; a document left without a word goes."""
-    ready(spark)
+    _lean(spark)
     columns, into = docs.columns, unused(docs, "lines")
     left = lines.dedupe(docs, keep_first=True, into=into)
     emptied = (F.col(f"{into}.n_dropped") > 0) & ~F.col(f"{into}.text").rlike("[^\\x20\\x09-\\x0D]")
@@ -41,7 +49,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
-    ready(spark)
+    _lean(spark)
     return jaccard.one_of_each(docs)
 
 
@@ -52,11 +60,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, in the layout of token files."""
-    ready(spark)
+    _lean(spark)
     into = unused(docs, "tokens")
     # The workers have four stages behind them: small pieces, and fewer chunks remembered.
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.with_ids(docs, vocabulary, into=into, piece_bytes=SMALL_PIECE, cached=100_000)
+    encoded = bpe.with_ids(docs, vocabulary, into=into, piece_bytes=SMALL_PIECE, cached=60_000)
     return encoded.select("doc_id", "lang", "source", F.col(f"{into}.n_tokens").alias("n_tokens"), F.col(f"{into}.ids").alias("ids"))
 
 

@@ -131,3 +131,7 @@ def test_clashing_columns(spark):
     assert got.columns == [*frame.columns, "new"]
     assert sorted((r["ids"], r["tokens"] or "", r["new"]["n_tokens"]) for r in got.collect()) == [(5, "t", 2), (6, "", 0)]
     assert bpe.with_ids(frame, PATH).columns == frame.columns  # the struct takes the place of the column
+
+
+def test_tables_of_the_library_are_not_held_twice():
+    assert VOCABULARY.library.get_vocab_size() == 0 < LIBRARY.get_vocab_size()
